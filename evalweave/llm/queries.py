@@ -8,6 +8,8 @@ from importlib import import_module
 NAMES = {
     "op1_chat_format": "chat_format",
     "op2_token_binary": "token_binary",
+    "op6_simhash": "simhash",
+    "op8_quality": "quality",
     "op10_packing": "packing",
 }
 
