@@ -9,7 +9,9 @@ NAMES = {
     "op1_chat_format": "chat_format",
     "op2_token_binary": "token_binary",
     "op6_simhash": "simhash",
+    "op7_secret_scan": "secret_scan",
     "op8_quality": "quality",
+    "op9_decontaminate": "decontaminate",
     "op10_packing": "packing",
 }
 
