@@ -8,6 +8,9 @@ from importlib import import_module
 NAMES = {
     "op1_chat_format": "chat_format",
     "op2_token_binary": "token_binary",
+    "op3_warc_zip": "warc",
+    "op4_html_extract": "html_extract",
+    "op5_license_scan": "license_scan",
     "op6_simhash": "simhash",
     "op7_secret_scan": "secret_scan",
     "op8_quality": "quality",

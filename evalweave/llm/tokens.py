@@ -12,8 +12,10 @@ import os
 import re
 from bisect import bisect_right
 
-#: Words held by a worker, at some 150 bytes each.
-CACHE = 1_200_000
+#: Words held by a worker, at some 200 bytes each.
+CACHE = 500_000
+#: Characters of the texts whose words are taken apart at once, unless one text has more.
+AT_ONCE = 1_000_000
 #: New words joined for one call of the library.
 JOINED = 256
 
@@ -53,6 +55,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers."""
+        out, own, size = [], [], 0
+        for t in texts:
+            own.append(t)
+            size += len(t)
+            if size > AT_ONCE:
+                out += self._encode(own)
+                own, size = [], 0
+        return out + self._encode(own)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         for held in (self.words, self.first, self.pieces):
             if len(held) > self.most:
                 held.clear()
