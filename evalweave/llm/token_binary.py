@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, file
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(1, -(-(size[0] or 0) // file_bytes), -(-size[1] // 4_000_000))
     cuts = sorted({c for c in docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []}) if n > 1 else []
-    part = F.coalesce(_bucket(F.col("doc_id"), cuts), F.lit(0)).alias("part")
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(F.col("doc_id"), cuts)).alias("part")
     rows = token_rows(docs.select("doc_id", "text", part), path, end_id).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
