@@ -75,6 +75,15 @@ def test_range_coder():
     for ids in (np.zeros(0, np.int32), np.array([65535]), r.integers(0, 65536, 5000), r.zipf(1.3, 9000) % 49408, np.tile(r.integers(0, 300, 37), 100)):
         data = b"".join(rangecoder.encode_blocks(np.asarray(ids, np.int32), block=256, lanes=7))
         assert (rangecoder.decode_blocks(rangecoder.split_blocks(data), lanes=5) == ids).all()
+    # both orders sure of themselves and of different ids, then something rare
+    sure = np.concatenate([np.tile([1, 2, 3, 1, 2, 4, 9, 2, 4], 110), [60000, 2, 7], np.tile([5, 6], 20), r.integers(0, 65536, 300)]).astype(np.int32)
+    assert (rangecoder.decode_blocks(rangecoder.split_blocks(b"".join(rangecoder.encode_blocks(sure)))) == sure).all()
+    model = rangecoder._Model(1)
+    model.w2[:], model.w1[:] = 64000, 64000
+    model.predict()
+    assert model.rest[0] >= rangecoder._LEAST_REST
+    with pytest.raises(ValueError):
+        rangecoder.encode_blocks(sure, block=4096)
     data = bytearray(b"".join(rangecoder.encode_blocks(np.arange(600, dtype=np.int32), block=256)))
     data[40] ^= 1
     with pytest.raises(rangecoder.BlockError):
