@@ -40,6 +40,12 @@ def short_answer(output: Column, options: Column) -> Column:
     return F.coalesce(F.try_element_at(options, F.nullif(letter, F.lit(""))), F.lit(""))
 
 
+def delimited_field(c: Column, name: str) -> Column:
+    """What follows [name] and a colon or equals sign, without marks at its end; empty if there is none."""
+    value = F.regexp_extract(c, rf"\[?{re.escape(name)}\]?\s*[:=：]?\s*([^\s;]+)", 1)
+    return F.regexp_replace(value, "[.,;。，；]+$", "")
+
+
 def longest_terms(terms: list[str]):
     """Of one text: the terms that occur, longer occurrences first, then earlier, then by name; none over another."""
     found = [(t, re.compile(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])")) for t in sorted(set(terms))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,10 @@ def bucket(v: Column, edges: list[float]) -> Column:
     for a, b in zip(edges, edges[1:], strict=False):
         out = out.when(v < b, F.lit(f"[{a:g},{b:g})"))
     return out.otherwise(F.lit(f">={edges[-1]:g}"))
+
+
+def running_share(n: Column, group: list[str], order: list[str]) -> dict[str, Column]:
+    """start and share of each row in its group's total, in order. Rows are few: counts of states."""
+    w = Window.partitionBy(*group)
+    total = F.sum(n).over(w)
+    return {"start": (F.sum(n).over(w.orderBy(*order)) - n) / total, "share": n / total}

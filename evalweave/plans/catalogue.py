@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays, text
@@ -332,6 +332,103 @@ def dedupe_union(spark, d):
     docs = read(spark, d, "documents").select("doc_id")
     return relations.union_check([docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 > 0")], "doc_id")
 
+@query(f"WITH s AS (SELECT truth, CASE WHEN NOT ok1 THEN 0 WHEN NOT ok2 THEN 1 WHEN NOT ok3 THEN 2 ELSE 3 END AS state, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL), w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY truth) AS DOUBLE) AS total, coalesce(sum(n) OVER (PARTITION BY truth ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT truth, state, round(before / total, 6) AS start, round(n / total, 6) AS share FROM w")
+def stacked_offsets(spark, d):
+    state = F.when(~F.col("ok1"), 0).when(~F.col("ok2"), 1).when(~F.col("ok3"), 2).otherwise(3)
+    c = predictions(spark, d).groupBy("truth", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return c.select("truth", "state", *[F.round(v, 6).alias(k) for k, v in relations.running_share(F.col("n"), ["truth"], ["state"]).items()])
+
+
+@query("SELECT event_type, user_id, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY event_type ORDER BY user_id) - count(*) AS BIGINT) AS start FROM events GROUP BY event_type, user_id")
+def cluster_offsets(spark, d):
+    c = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("start", F.sum("n").over(Window.partitionBy("event_type").orderBy("user_id")) - F.col("n"))
+
+
+@query("WITH x AS (SELECT vec_id, list_transform(generate_series(1, len(embedding)), lambda i: {'a': -abs(embedding[i]), 'i': i - 1}) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(list_sort(e), lambda z: z.i)[1:5] AS top FROM x) SELECT vec_id, array_to_string(list_sort(CASE WHEN list_contains(top, 0) THEN top ELSE list_append(top[1:4], 0) END), ',') AS slots FROM s")
+def strongest_with_first(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.array_join(arrays.strongest_with_first(F.col("embedding"), 5).cast("array<string>"), ",").alias("slots"))
+
+
+@query("WITH s AS (SELECT event_type, event_id % 8 AS shard FROM events) SELECT event_type, count(DISTINCT shard) = 8 AND min(shard) = 0 AND max(shard) = 7 AS complete FROM s GROUP BY event_type")
+def shard_coverage(spark, d):
+    s = read(spark, d, "events").select("event_type", (F.col("event_id") % 8).alias("shard")).distinct()
+    return s.groupBy("event_type").agg((F.array_sort(F.collect_set("shard")) == F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("complete"))
+
+
+@query("WITH t AS (SELECT *, CASE lang WHEN 'en' THEN ['tone', 'sweep'] WHEN 'de' THEN ['sweep', 'hum'] ELSE ['hum'] END AS own FROM documents) SELECT doc_id, array_to_string(list_filter(['hum', 'sweep', 'tone'], lambda x: NOT list_contains(own, x)), ',') AS rest, array_to_string(list_filter(own, lambda x: x IN ('sweep', source)), ',') AS shared, CAST(len(list_distinct(list_concat(own, ['sweep', source]))) AS INT) AS united FROM t")
+def term_sets(spark, d):
+    words = lambda *w: F.array(*map(F.lit, w))
+    own = F.when(F.col("lang") == "en", words("tone", "sweep")).when(F.col("lang") == "de", words("sweep", "hum")).otherwise(words("hum"))
+    other = F.array(F.lit("sweep"), F.col("source"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_except(words("hum", "sweep", "tone"), own), ",").alias("rest"), F.array_join(F.array_intersect(own, other), ",").alias("shared"), F.size(F.array_union(own, other)).alias("united"))
+
+
+@query("SELECT page_id, regexp_replace(url, '^.*/', '') AS base, regexp_replace(url, '/[^/]*$', '') AS parent, sha256(replace(coalesce(html, ''), chr(13) || chr(10), chr(10))) AS digest FROM pages")
+def path_and_digest(spark, d):
+    p = read(spark, d, "pages")
+    return p.select("page_id", F.regexp_replace("url", "^.*/", "").alias("base"), F.regexp_replace("url", "/[^/]*$", "").alias("parent"), F.sha2(F.replace(F.coalesce("html", F.lit("")), F.lit("\r\n"), F.lit("\n")), 256).alias("digest"))
+
+
+@query("SELECT event_id, round(10 * log10(greatest(value / 50, 1e-6)), 6) AS db, round(20 * log10(greatest(value, 1e-40)), 6) AS scale_db, CAST(least(40, greatest(4, ceil(value * 0.7))) AS BIGINT) AS beams, round(sqrt(value * value + 9), 6) AS radius, round(atan2(value, 3), 6) AS phase FROM events")
+def level_and_phase(spark, d):
+    v = F.col("value")
+    return read(spark, d, "events").select("event_id", F.round(arrays.decibels(v / 50, -60.0), 6).alias("db"), F.round(20 * F.log10(F.greatest(v, F.lit(1e-40))), 6).alias("scale_db"), F.least(F.lit(40), F.greatest(F.lit(4), F.ceil(v * 0.7))).cast("long").alias("beams"), F.round(F.hypot(v, F.lit(3.0)), 6).alias("radius"), F.round(F.atan2(v, F.lit(3.0)), 6).alias("phase"))
+
+
+@query("SELECT vec_id, list_sort(embedding[1:3]) = embedding[1:3] AND embedding[1] < embedding[2] AND embedding[2] < embedding[3] AS increasing FROM embeddings")
+def increasing_check(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", arrays.is_increasing(F.slice("embedding", 1, 3)).alias("increasing"))
+
+
+@query("WITH u AS (UNPIVOT (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem) ON quantity, discount, tax INTO NAME metric VALUE v) SELECT l_returnflag, metric, count(v) AS count, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean FROM u GROUP BY ALL")
+def metric_table(spark, d):
+    x = read(spark, d, "lineitem").select("l_returnflag", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")])
+    u = x.unpivot("l_returnflag", ["quantity", "discount", "tax"], "metric", "v")
+    return u.groupBy("l_returnflag", "metric").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, round(max(v), 6) AS max_delay, round(min(v), 6) AS min_delay, round(avg(v), 6) AS mean_delay, round(max(20 * log10(q)), 2) AS max_db, count(*) <= 2 AS sparse FROM (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) / 100 AS v, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) GROUP BY l_orderkey")
+def arrival_summary(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("double") / 100).alias("v"), F.col("l_quantity").cast("double").alias("q"))
+    return x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 6).alias("max_delay"), F.round(F.min("v"), 6).alias("min_delay"), F.round(F.avg("v"), 6).alias("mean_delay"), F.round(F.max(20 * F.log10("q")), 2).alias("max_db"), (F.count(F.lit(1)) <= 2).alias("sparse"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(v - min(v) OVER w, 6) AS delay, round(q / max(q) OVER w, 6) AS amplitude FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey)")
+def rebased_arrivals(spark, d):
+    w, x = Window.partitionBy("l_orderkey"), read(spark, d, "lineitem")
+    v, q = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
+    return x.select("l_orderkey", "l_linenumber", F.round(v - F.min(v).over(w), 6).alias("delay"), F.round(q / F.max(q).over(w), 6).alias("amplitude"))
+
+
+@query(f"WITH m AS (SELECT truth, avg(CAST(truth = pred AS INT)) AS a, avg(CAST(truth = pred_b AS INT)) AS b FROM ({_BASE}) GROUP BY truth) SELECT truth, round(b - a, 6) AS delta, round((b - a) * 100, 4) AS delta_pp FROM m")
+def signed_deltas(spark, d):
+    share = lambda c: F.avg((F.col("truth") == F.col(c)).cast("double"))
+    m = predictions(spark, d).groupBy("truth").agg((share("pred_b") - share("pred")).alias("x"))
+    return m.select("truth", F.round("x", 6).alias("delta"), F.round(F.col("x") * 100, 4).alias("delta_pp"))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus) = 1 AS consistent, count(*) AS orders FROM orders GROUP BY o_custkey")
+def source_consistency(spark, d):
+    return read(spark, d, "orders").groupBy("o_custkey").agg((F.count_distinct("o_orderstatus") == 1).alias("consistent"), F.count(F.lit(1)).alias("orders"))
+
+
+@query("SELECT p_brand, 60::BIGINT AS required, count(*) AS available, count(*) FILTER (p_retailprice >= 1200) AS eligible, count(*) FILTER (p_retailprice >= 1200) < 60 AS insufficient FROM part GROUP BY p_brand")
+def insufficient_classes(spark, d):
+    e = F.count_if(F.col("p_retailprice") >= 1200)
+    return read(spark, d, "part").groupBy("p_brand").agg(F.lit(60).cast("long").alias("required"), F.count(F.lit(1)).alias("available"), e.alias("eligible"), (e < 60).alias("insufficient"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'A' ELSE 'B' END AS letter, replace('a {L1} event', '{L1}', event_type) AS question FROM events")
+def question_template(spark, d):
+    return read(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("letter"), F.replace(F.lit("a {L1} event"), F.lit("{L1}"), F.col("event_type")).alias("question"))
+
+
+@query("SELECT doc_id, rtrim(regexp_extract('[lang]: ' || lang || '; [source]=' || source || '.', 'source\\][:=]?\\s*([^\\s;]+)', 1), '.') AS field FROM documents")
+def delimited_field(spark, d):
+    line = F.concat(F.lit("[lang]: "), "lang", F.lit("; [source]="), "source", F.lit("."))
+    return read(spark, d, "documents").select("doc_id", text.delimited_field(line, "source").alias("field"))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
