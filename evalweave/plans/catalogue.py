@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays, text
-from evalweave.operators import intervals, metrics, relations, selection
+from evalweave.operators import cascade, intervals, metrics, relations, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -388,9 +388,9 @@ def metric_table(spark, d):
     return u.groupBy("l_returnflag", "metric").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query("SELECT l_orderkey, count(*) AS n, round(max(v), 6) AS max_delay, round(min(v), 6) AS min_delay, round(avg(v), 6) AS mean_delay, round(max(20 * log10(q)), 2) AS max_db, count(*) <= 2 AS sparse FROM (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) / 100 AS v, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(*) AS n, round(max(v), 6) AS max_delay, round(min(v), 6) AS min_delay, round(avg(v), 6) AS mean_delay, round(max(20 * log10(q)), 2) AS max_db, count(*) <= 2 AS sparse FROM (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) GROUP BY l_orderkey")
 def arrival_summary(spark, d):
-    x = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("double") / 100).alias("v"), F.col("l_quantity").cast("double").alias("q"))
+    x = read(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("v"), F.col("l_quantity").cast("double").alias("q"))
     return x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 6).alias("max_delay"), F.round(F.min("v"), 6).alias("min_delay"), F.round(F.avg("v"), 6).alias("mean_delay"), F.round(F.max(20 * F.log10("q")), 2).alias("max_db"), (F.count(F.lit(1)) <= 2).alias("sparse"))
 
 
@@ -429,6 +429,17 @@ def delimited_field(spark, d):
     line = F.concat(F.lit("[lang]: "), "lang", F.lit("; [source]="), "source", F.lit("."))
     return read(spark, d, "documents").select("doc_id", text.delimited_field(line, "source").alias("field"))
 
+def _mock_sql(turn: int, truth: str) -> str:
+    limit = {1: "e666", 2: "cccd", 3: "b333"}[turn]
+    return f"CASE WHEN substr(md5('42|{turn}|' || event_id), 1, 4) < '{limit}' THEN {truth} ELSE 'unknown' END"
+
+
+@query(f"WITH e AS (SELECT event_id, {_L1.format('event_type', 'event_type')} AS l1, event_type AS l2, event_type || CAST(event_id % 3 AS VARCHAR) AS l3 FROM events), a AS (SELECT *, {_mock_sql(1, 'l1')} AS pred_1, {_mock_sql(2, 'l2')} AS said_2, {_mock_sql(3, 'l3')} AS said_3 FROM e), c AS (SELECT *, CASE WHEN pred_1 = l1 THEN said_2 ELSE 'cascade_error' END AS pred_2, CASE WHEN pred_1 = l1 THEN said_3 ELSE 'cascade_error' END AS pred_3 FROM a) SELECT event_id, pred_1, pred_2, pred_3, CASE pred_1 WHEN 'unknown' THEN 3 ELSE 1 END AS tier_1, CASE pred_2 WHEN 'cascade_error' THEN 0 WHEN 'unknown' THEN 3 ELSE 1 END AS tier_2, CASE pred_3 WHEN 'cascade_error' THEN 0 WHEN 'unknown' THEN 3 ELSE 1 END AS tier_3 FROM c")
+def mock_cascade(spark, d):
+    family = F.expr(_L1.format("event_type", "event_type"))
+    e = read(spark, d, "events").select("event_id", family.alias("l1"), F.col("event_type").alias("l2"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("l3"))
+    return cascade.cascade(e, "event_id", ["l1", "l2", "l3"], cascade.mock()).drop("l1", "l2", "l3")
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
