@@ -442,8 +442,12 @@ def mock_cascade(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from evalweave.plans import records  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from evalweave.plans import records  # noqa: F401
+
     return dict(_SQL)

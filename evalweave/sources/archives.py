@@ -26,6 +26,23 @@ def _tar(data: bytes) -> Iterator[tuple[str, int, Callable[[], bytes] | None]]:
                 yield m.name, m.size, (lambda m=m: t.extractfile(m).read()) if m.isreg() else None  # links have no content of their own
 
 
+#: Archives inside an archive that are opened.
+NESTED = 4
+
+
+def _nested_tar(data: bytes, prefix: str = "", opened: list | None = None) -> Iterator[tuple[str, int, Callable[[], bytes] | None]]:
+    """As _tar, and the members of .tar.gz members under their names; more than NESTED of those are an error."""
+    opened = [] if opened is None else opened
+    for name, size, read in _tar(data):
+        if read is not None and name.endswith(".tar.gz") and safe(prefix + name):
+            opened.append(name)
+            if len(opened) > NESTED:
+                raise tarfile.TarError("too many nested archives")
+            yield from _nested_tar(read(), f"{prefix}{name[:-7]}/", opened)
+        else:
+            yield prefix + name, size, read
+
+
 def _zip(data: bytes) -> Iterator[tuple[str, int, Callable[[], bytes] | None]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for m in z.infolist():
@@ -33,11 +50,12 @@ def _zip(data: bytes) -> Iterator[tuple[str, int, Callable[[], bytes] | None]]:
                 yield m.filename, m.file_size, lambda m=m: z.read(m)
 
 
-def members(spark: SparkSession, folder: str, pattern: str, suffix: str = "", most_bytes: int = 128 << 20) -> DataFrame:
+def members(spark: SparkSession, folder: str, pattern: str, suffix: str | tuple[str, ...] = "", most_bytes: int = 128 << 20, nested: bool = False) -> DataFrame:
     """archive, member, bytes, sha256, content, fault: members of the archives whose names end in suffix.
 
     A link, a name that leads outside, a name that is there before, or a member over most_bytes has a fault and no content; an
-    archive that can't be read is one row with a fault. An archive is one task's row, as Spark reads files whole.
+    archive that can't be read is one row with a fault. An archive is one task's row, as Spark reads files whole. With `nested`,
+    .tar.gz members of a tar archive are opened too; one that is too deep or broken is a row with a fault after those before it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +63,7 @@ def members(spark: SparkSession, folder: str, pattern: str, suffix: str = "", mo
             for path, data in zip(b["path"], b["content"], strict=True):
                 rows, seen = [], set()
                 try:
-                    for name, size, read in (_zip if zipfile.is_zipfile(io.BytesIO(data)) else _tar)(data):
+                    for name, size, read in (_zip if zipfile.is_zipfile(io.BytesIO(data)) else _nested_tar if nested else _tar)(data):
                         if not name.endswith(suffix):
                             continue
                         fault = "link" if read is None else "path" if not safe(name) else "repeated" if name in seen else "size" if size > most_bytes else None
