@@ -59,3 +59,27 @@ def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 10_000, see
     drawn = df.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "acc_a double, acc_b double, delta double")
     long = drawn.select(F.explode(F.map_from_arrays(F.array(F.lit("acc_a"), F.lit("acc_b"), F.lit("delta")), F.array("acc_a", "acc_b", "delta"))).alias("measure", "v"))
     return long.groupBy("measure").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("measure", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, tasks: int = 8) -> DataFrame:
+    """low, high of the mean of a row's figure over resampled rows; null for fewer than five rows. Null figures are left out.
+
+    Rows are reduced to distinct figures with counts, so what a replicate draws grows with the distinct figures (a right or
+    wrong answer has two), not with the rows; more than a million distinct ones are an error.
+    """
+    k = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    own = np.array([tuple(r) for r in k.orderBy("v").limit(1_000_001).collect()], float).reshape(-1, 2)
+    if len(own) > 1_000_000:
+        raise ValueError("more than a million distinct figures: round them first")
+    total = int(own[:, 1].sum())
+    if total < 5:
+        return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            drawn = [np.random.default_rng([seed, int(i)]).multinomial(total, own[:, 1] / total) @ own[:, 0] / total for i in x["id"]]
+            yield pd.DataFrame({"v": drawn})
+
+    tail = (1.0 - level) / 2
+    v = df.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "v double").agg(F.array_sort(F.collect_list("v")).alias("v"))  # as many as replicates
+    return v.select(F.get("v", F.lit(int(replicates * tail))).alias("low"), F.get("v", F.lit(min(replicates - 1, int(replicates * (1 - tail))))).alias("high"))

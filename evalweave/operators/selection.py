@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def rank_pool(df: DataFrame, group: str, quality: str, key: str, n: int, factor: float = 2.0) -> DataFrame:
-    """Rank in the group by quality, then key; the group's size; the candidates, min(size, max(n, round half even of n * factor))."""
+    """Rank in the group by quality, then key; the group's size; the candidates, min(size, max(n, round half even of n * factor)).
+
+    The bound on the rank is a constant, so Spark keeps that many rows of a group in each task before the shuffle: a group
+    that holds a third of the rows sends no more than the others.
+    """
     pool = int(max(n, round(n * factor)))
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(quality), key)))
-    return ranked.join(df.groupBy(group).agg(F.count(F.lit(1)).alias("pool_size")), group).filter(F.col("rank") <= F.least(F.lit(pool), F.col("pool_size")))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(quality), key))).filter(F.col("rank") <= pool)
+    return ranked.join(df.groupBy(group).agg(F.count(F.lit(1)).alias("pool_size")), group)
 
 
 def hash_sample(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
@@ -66,11 +70,16 @@ def numeric_summary(df: DataFrame, group: str, value: str) -> DataFrame:
 def group_split(df: DataFrame, label: str, source: str, seed: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     """(label, source, split): sources in hash order, sizes by floor and largest remainder (ties to the earlier split).
 
-    A source stands in one split for a label. Distinct sources pass through the window, not rows.
+    A source stands in one split for a label. Ranks are two-level: inside a range of hashes, plus what stands in the ranges
+    before it (65,536 counts a label at most), so no task sorts all sources of a label.
     """
     src = df.select(label, source).distinct()
-    h = F.md5(F.concat(F.lit(seed), F.col(source).cast("string")))
-    ranked = src.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(h, source))).join(src.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), label)
+    src = src.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(source).cast("string")))).withColumn("_b", F.substring("_h", 1, 4))
+    counts = src.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(label)
+    before = counts.select(label, "_b", (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", source))
+    ranked = src.withColumn("_i", inside).join(before, [label, "_b"]).withColumn("_r", F.col("_i") + F.col("_before"))
     exact = [F.col("_n") * r for r in ratios]
     base = [F.floor(e) for e in exact]
     left = F.col("_n") - reduce(lambda a, b: a + b, base)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalweave.functions import evidence
-from evalweave.operators import labels, metrics, validation
+from evalweave.operators import channel, intervals, labels, metrics, reasoning, validation
 from evalweave.plans import figures
 from evalweave.plans.catalogue import _BASE, _LEVELS, CLASSES, predictions, query, read
 from evalweave.sources import solver
@@ -206,3 +206,34 @@ def audio_resolution(spark, d):
     files = p.filter("page_id % 5 < 3").select(F.explode(F.when(F.col("page_id") % 5 == 2, F.array(F.lit("d/"), F.lit("e/"))).otherwise(F.array(F.lit("d/")))).alias("at"), key.alias("k")).select(F.concat("at", "k", F.lit(".wav")).alias("path"))
     x = validation.resolved_audio(p.withColumns({"id": key, "wav_path": declared}), files)
     return x.select("page_id", "audio", "audio_fault")
+
+
+_STATUS = "CASE WHEN o_custkey % 7 = 0 THEN 'existing' WHEN o_custkey % 7 = 1 THEN 'no_arrivals' WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' THEN 'existing' ELSE 'failed' END"
+
+
+@query(f"WITH s AS (SELECT o_custkey, {_STATUS} AS status FROM orders), g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (status IN ('success', 'existing')) AS u, count(*) FILTER (status = 'existing') AS e, count(*) FILTER (status = 'no_arrivals') AS a FROM s GROUP BY o_custkey) SELECT o_custkey, n, CASE WHEN e = n THEN 'skipped' WHEN u = n THEN 'success' WHEN u > 0 THEN 'partial' WHEN a = n THEN 'no_arrivals' ELSE 'failed' END AS status FROM g")
+def channel_status(spark, d):
+    return channel.status_roll_up(read(spark, d, "orders").withColumn("status", F.expr(_STATUS)), "o_custkey", "status")
+
+
+@query("SELECT event_id, value AS freq_hz FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0")
+def pending_channels(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("value").alias("freq_hz"))
+    shift = F.when(F.col("event_id") % 5 == 0, F.col("freq_hz") + 1).otherwise(F.col("freq_hz") + 0.001)
+    done = e.select("event_id", F.when(F.col("event_id") % 3 == 0, "v1").otherwise("v2").alias("model_version"), shift.alias("freq_hz"))
+    return channel.pending(e, done, "event_id", "v2")
+
+
+_TERMS = {"en": ["the", "license"], "de": ["und", "die"]}
+_HAS = "regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9])({})($|[^a-z0-9])')"
+
+
+@query(f"WITH h AS (SELECT lang, {_HAS.format('the|license')} AS e, {_HAS.format('und|die')} AS g FROM documents), r AS (SELECT lang, CASE lang WHEN 'en' THEN e WHEN 'de' THEN g ELSE false END AS own, CASE lang WHEN 'en' THEN g WHEN 'de' THEN e ELSE e OR g END AS other FROM h) SELECT lang, count(*) AS n, round(count(*) FILTER (own AND NOT other) / count(*), 6) AS alignment_rate, round(count(*) FILTER (other) / count(*), 6) AS contradiction_rate, round(count(*) FILTER (NOT own AND other) / count(*), 6) AS concept_confusion_rate, round(count(*) FILTER (NOT own AND NOT other) / count(*), 6) AS vague_rate, round(count(*) FILTER (own AND other) / count(*), 6) AS term_stacking_rate FROM r GROUP BY lang")
+def reasoning_rates(spark, d):
+    return reasoning.rates(reasoning.term_hits(read(spark, d, "documents"), "doc_id", "lang", "text", _TERMS), ["lang"])
+
+
+@query()
+def bootstrap_accuracy(spark, d):
+    p = predictions(spark, d).select((F.col("truth") == F.col("pred")).cast("double").alias("v"))
+    return intervals.bootstrap_mean(p, "v")
