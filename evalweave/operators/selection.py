@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.operators.quantiles import cumulative, quantiles
+
 
 def rank_pool(df: DataFrame, group: str, quality: str, key: str, n: int, factor: float = 2.0) -> DataFrame:
     """Rank in the group by quality, then key; the group's size; the candidates, min(size, max(n, round half even of n * factor)).
@@ -27,7 +29,7 @@ def hash_sample(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataF
 
 def cut_points(df: DataFrame, group: str, value: str) -> DataFrame:
     """Tertile cuts (linear quantiles) by group."""
-    return df.groupBy(group).agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).select(group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q2"))
+    return quantiles(df, group, value, [1 / 3, 2 / 3], ["q1", "q2"])
 
 
 def tertile_strata(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -46,25 +48,28 @@ def stratified_recall(df: DataFrame, group: str) -> DataFrame:
 
 def robust_medoid(df: DataFrame, group: str, key: str, values: list[str]) -> DataFrame:
     """The row nearest to the group's medians in interquartile ranges; values whose range is 0 don't count; ties: the least key."""
-    q = df.groupBy(group).agg(*[F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{v}") for v in values])
+    near: DataFrame = df
     d: list[Column] = []
     for v in values:
-        iqr = F.get(f"q_{v}", F.lit(2)) - F.get(f"q_{v}", F.lit(0))
-        d.append(F.when(iqr > 0, F.pow((F.col(v) - F.get(f"q_{v}", F.lit(1))) / iqr, F.lit(2.0))).otherwise(0.0))
-    near = df.join(q, group).withColumn("distance", F.round(reduce(lambda a, b: a + b, d), 9))
+        low, middle, high = (f"_{v}_{k}" for k in ("low", "middle", "high"))
+        near = near.join(quantiles(df, group, v, [0.25, 0.5, 0.75], [low, middle, high]), group)
+        iqr = F.col(high) - F.col(low)
+        d.append(F.when(iqr > 0, F.pow((F.col(v) - F.col(middle)) / iqr, F.lit(2.0))).otherwise(0.0))
+    near = near.withColumn("distance", F.round(reduce(lambda a, b: a + b, d), 9))
     return near.groupBy(group).agg(F.min(F.struct("distance", key)).alias("m"), F.count(F.lit(1)).alias("n")).select(group, F.col(f"m.{key}").alias(key), F.col("m.distance").alias("distance"), "n")
 
 
 def ecdf(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Distinct values with the cumulative mass up to each. Groups are few; their distinct values pass through a window."""
-    c = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group)
-    return c.select(group, value, F.round(F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w), 9).alias("mass"))
+    """Distinct values with the cumulative mass up to each. Null values have no step."""
+    return cumulative(df, group, value).select(group, value, F.round(F.col("upto") / F.col("total"), 9).alias("mass"))
 
 
 def numeric_summary(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Of a group's values; a group of nulls only has a count of 0."""
     v = F.col(value)
-    return df.groupBy(group).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"))
+    g = df.groupBy(group).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"))
+    m = quantiles(df, group, value, [0.5], ["_m"]).withColumnRenamed(group, "_g")
+    return g.join(m, g[group].eqNullSafe(m["_g"]), "left").select(group, "count", "min", "max", "mean", F.round("_m", 4).alias("median"))
 
 
 def group_split(df: DataFrame, label: str, source: str, seed: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import arrays, text
 from evalweave.operators import cascade, intervals, metrics, relations, selection
+from evalweave.operators.quantiles import cumulative
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -341,8 +342,7 @@ def stacked_offsets(spark, d):
 
 @query("SELECT event_type, user_id, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY event_type ORDER BY user_id) - count(*) AS BIGINT) AS start FROM events GROUP BY event_type, user_id")
 def cluster_offsets(spark, d):
-    c = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("start", F.sum("n").over(Window.partitionBy("event_type").orderBy("user_id")) - F.col("n"))
+    return cumulative(read(spark, d, "events"), "event_type", "user_id").select("event_type", "user_id", "n", (F.col("upto") - F.col("n")).alias("start"))
 
 
 @query("WITH x AS (SELECT vec_id, list_transform(generate_series(1, len(embedding)), lambda i: {'a': -abs(embedding[i]), 'i': i - 1}) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(list_sort(e), lambda z: z.i)[1:5] AS top FROM x) SELECT vec_id, array_to_string(list_sort(CASE WHEN list_contains(top, 0) THEN top ELSE list_append(top[1:4], 0) END), ',') AS slots FROM s")

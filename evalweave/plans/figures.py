@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.operators import metrics, relations, selection
 from evalweave.operators.labels import validity
+from evalweave.operators.quantiles import quantiles
 
 
 def class_diagnostics(conf: DataFrame, classes: list[str], extra: list[str], mark: float = 0.2) -> DataFrame:
@@ -31,8 +32,11 @@ def series(df: DataFrame, family: str, collection: str, text_value: str, positiv
     """family, collection, population, valid, missing, not_numeric, nonfinite, nonpositive, median, min, max of a field held as text."""
     kind = validity(F.col(text_value), positive)
     v = F.when(kind == "valid", F.trim(text_value).try_cast("double"))
-    n = lambda name: F.count_if(kind == name).alias(name)
-    return df.groupBy(family, collection).agg(F.count(F.lit(1)).alias("population"), *[n(k) for k in ("valid", "missing", "not_numeric", "nonfinite", "nonpositive")], F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    x = df.select(F.struct(family, collection).alias("_key"), v.alias("_v"), kind.alias("_kind"))
+    n = lambda name: F.count_if(F.col("_kind") == name).alias(name)
+    g = x.groupBy("_key").agg(F.count(F.lit(1)).alias("population"), *[n(k) for k in ("valid", "missing", "not_numeric", "nonfinite", "nonpositive")], F.min("_v").alias("min"), F.max("_v").alias("max"))
+    m = quantiles(x, "_key", "_v", [0.5], ["median"]).withColumnRenamed("_key", "_own")
+    return g.join(m, F.col("_key").eqNullSafe(F.col("_own")), "left").select("_key.*", *[c for c in g.columns if c != "_key"], "median")
 
 
 def distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -52,9 +56,10 @@ def representatives(df: DataFrame, group: str, key: str, values: list[str]) -> D
 
 def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q25, median, q75 of a figure such as the spectral centroid (linear quantiles)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(group).agg(F.count(value).alias("n"), q.alias("q"))
-    return g.select(group, "n", *[F.round(F.get("q", F.lit(i)), 6).alias(name) for i, name in enumerate(("q25", "median", "q75"))])
+    names = ["q25", "median", "q75"]
+    n = df.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("n"))
+    q = quantiles(df, group, value, [0.25, 0.5, 0.75], names)
+    return n.join(q, n["_g"].eqNullSafe(q[group]), "left").select(F.col("_g").alias(group), "n", *[F.round(c, 6).alias(c) for c in names])
 
 
 def channel_pairs(df: DataFrame, group: str, source: str, channel: str, quality: str) -> DataFrame:
