@@ -6,12 +6,10 @@ input is partitioned.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.operators.labels import LEAVES, field, number
+from evalweave.operators.labels import LEAVES, field, let, number
 
 # Phrases by class, by direction of a sweep, by band, density, harmonics and modulation.
 PRECISE = {
@@ -35,7 +33,7 @@ DENSITY = ["discrete machinery tonal components", "sparse discrete tonal structu
 HARMONICS = ["shaft- and blade-rate-related harmonic lines", "shaft-rate-related harmonic lines", "blade-rate-related harmonic lines", "mechanical tonal components without a dominant harmonic family", "periodic propeller-related modulation"]
 MODULATION = ["weak periodic amplitude modulation", "moderate periodic amplitude modulation", "strong periodic amplitude modulation", "periodic propeller-related modulation"]
 # End of fixed values.
-_LINES = "array<struct<frequency_hz:string,source_type:string>>"
+_PARAMS = "sweep_direction string, lines array<struct<frequency_hz:string,source_type:string>>, line_frequency_range_hz array<string>, num_lines string, shaft_mod_coeff string, blade_mod_coeff string"
 
 
 def pick(variants: list[Column], key: Column, place: str, seed: int = 42) -> Column:
@@ -44,39 +42,40 @@ def pick(variants: list[Column], key: Column, place: str, seed: int = 42) -> Col
     return F.get(F.array(*variants), at.cast("int"))
 
 
-def _sweep(meta: Column, leaf: str, key: Column, seed: int) -> Column:
-    way = F.lower(F.trim(field(meta, "signal_params.sweep_direction")))
+def _sweep(p: Column, leaf: str, key: Column, seed: int) -> Column:
+    way = F.lower(F.trim(p["sweep_direction"]))
     said = {name: pick([F.lit(x) for x in words[leaf]], key, "sweep", seed) for name, words in SWEEPS.items()}
     return F.when(way.isin(UP), said["up"]).when(way.isin(DOWN), said["down"]).otherwise(said["none"])
 
 
-def _ship(meta: Column, key: Column, seed: int) -> Column:
-    at = lambda name: field(meta, f"signal_params.{name}")
-    lines = F.coalesce(F.from_json(at("lines"), _LINES), F.array().cast(_LINES))
+def _ship(p: Column, key: Column, seed: int) -> Column:
+    lines = F.coalesce(p["lines"], F.array().cast("array<struct<frequency_hz:string,source_type:string>>"))
     own = F.filter(F.transform(lines, lambda x: number(x["frequency_hz"])), lambda v: v.isNotNull())
-    given = F.from_json(at("line_frequency_range_hz"), "array<string>")
-    some = F.size(own) > 0
-    low, high = F.when(some, F.array_min(own)).otherwise(number(F.get(given, F.lit(0)))), F.when(some, F.array_max(own)).otherwise(number(F.get(given, F.lit(1))))
-    band = F.when(high.isNull(), BANDS[0]).when(high <= 250, BANDS[1]).when((low.isNull() | (low < 250)) & (high <= 1200), BANDS[2]).otherwise(BANDS[3])
-    said = number(at("num_lines"))
-    count = F.when(said >= 0, F.floor(said)).otherwise(F.size(lines))
-    density = F.when(said.isNull() & (F.size(lines) == 0), DENSITY[0]).when(count <= 4, DENSITY[1]).when(count <= 7, DENSITY[2]).otherwise(DENSITY[3])
+    given = lambda i: number(F.get(p["line_frequency_range_hz"], F.lit(i)))
+    ends = let(own, lambda o: F.when(F.size(o) > 0, F.struct(F.array_min(o).alias("low"), F.array_max(o).alias("high"))).otherwise(F.struct(given(0).alias("low"), given(1).alias("high"))))
+    band = let(ends, lambda e: F.when(e["high"].isNull(), BANDS[0]).when(e["high"] <= 250, BANDS[1]).when((e["low"].isNull() | (e["low"] < 250)) & (e["high"] <= 1200), BANDS[2]).otherwise(BANDS[3]))
+    count = let(number(p["num_lines"]), lambda n: F.when(n >= 0, F.floor(n)).when(n.isNotNull() | (F.size(lines) > 0), F.size(lines)))
+    density = let(count, lambda n: F.when(n.isNull(), DENSITY[0]).when(n <= 4, DENSITY[1]).when(n <= 7, DENSITY[2]).otherwise(DENSITY[3]))
     kinds = F.transform(lines, lambda x: F.lower(F.trim(F.coalesce(x["source_type"], F.lit("")))))
-    shaft, blade = F.array_contains(kinds, "shaft_harmonic"), F.array_contains(kinds, "blade_harmonic")
-    harmonic = F.when(shaft & blade, HARMONICS[0]).when(shaft, HARMONICS[1]).when(blade, HARMONICS[2]).when(F.size(kinds) > 0, HARMONICS[3]).otherwise(HARMONICS[4])
-    depth = F.greatest(number(at("shaft_mod_coeff")), number(at("blade_mod_coeff")))
-    modulation = F.when(depth <= 0.09, MODULATION[0]).when(depth <= 0.14, MODULATION[1]).when(depth.isNotNull(), MODULATION[2]).otherwise(MODULATION[3])
-    drive = pick([F.concat(harmonic, F.lit(" with "), modulation), F.concat(modulation, F.lit(" associated with "), harmonic)], key, "drive", seed)
+    shaft, blade = (lambda k: F.array_contains(k, "shaft_harmonic")), (lambda k: F.array_contains(k, "blade_harmonic"))
+    harmonic = let(kinds, lambda k: F.when(shaft(k) & blade(k), HARMONICS[0]).when(shaft(k), HARMONICS[1]).when(blade(k), HARMONICS[2]).when(F.size(k) > 0, HARMONICS[3]).otherwise(HARMONICS[4]))
+    depth = F.greatest(number(p["shaft_mod_coeff"]), number(p["blade_mod_coeff"]))
+    modulation = let(depth, lambda d: F.when(d <= 0.09, MODULATION[0]).when(d <= 0.14, MODULATION[1]).when(d.isNotNull(), MODULATION[2]).otherwise(MODULATION[3]))
+    drive = let(F.struct(harmonic.alias("h"), modulation.alias("m")), lambda x: pick([F.concat(x["h"], F.lit(" with "), x["m"]), F.concat(x["m"], F.lit(" associated with "), x["h"])], key, "drive", seed))
     return F.array(band, density, drive)
 
 
 def evidence(leaf: Column, meta: Column, key: Column, seed: int = 42) -> Column:
-    """array<string> of phrases for a leaf's key; null for another label."""
-    out = F.when(leaf.isin([k for k, p in LEAVES.items() if p[0] == "passive"]), _ship(meta, key, seed))
-    for name, words in PRECISE.items():
-        own = [F.lit(w) for w in words]
-        out = out.when(leaf == name, F.array(*own, *([_sweep(meta, name, key, seed)] if name in SWEEPS["none"] else [])))
-    return out
+    """array<string> of phrases for a leaf's key; null for another label. The metadata is parsed once a row."""
+
+    def said(p: Column) -> Column:
+        out = F.when(leaf.isin([k for k, parents in LEAVES.items() if parents[0] == "passive"]), _ship(p, key, seed))
+        for name, words in PRECISE.items():
+            own = [F.lit(w) for w in words]
+            out = out.when(leaf == name, F.array(*own, *([_sweep(p, name, key, seed)] if name in SWEEPS["none"] else [])))
+        return out
+
+    return let(F.from_json(field(meta, "signal_params"), _PARAMS), said)
 
 
 def source_letter(l1: Column) -> Column:
@@ -106,5 +105,4 @@ def dialogue(df: DataFrame, key: str, l1: str, leaf: str, meta: str, questions:
     why = fill(fill(pick([F.lit(s) for s in sentences], k, "why", seed), "{L1}", F.col(l1)), "{L3}", F.array_join(evidence(F.col(leaf), F.col(meta), k, seed), ", "))
     said = [source_letter(F.col(l1)), leaf_letter(F.col(leaf)), why]
     turns = [F.struct(F.lit(who).alias("from"), what.alias("value")) for q, a in zip(asked, said, strict=True) for who, what in (("human", q), ("gpt", a))]
-    there = reduce(lambda a, b: a & b, [s.isNotNull() for s in said])
-    return df.filter(there).withColumn("conversations", F.array(*turns))
+    return df.filter(said[0].isNotNull() & said[1].isNotNull()).withColumn("conversations", F.array(*turns))

@@ -6,6 +6,7 @@ these functions shuffles or leaves generated code; a scan with a narrow schema s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,6 +72,11 @@ def mapped(c: Column, names: dict[str, str], otherwise: Column | None = None) ->
     return F.coalesce(F.try_element_at(table, c), c if otherwise is None else otherwise)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def field(meta: Column, path: str) -> Column:
     return F.get_json_object(meta, f"$.{path}")
 
@@ -145,34 +151,38 @@ def path_agrees(l1: Column, l2: Column, l3: Column) -> Column:
     return F.coalesce(mapped(l3, {k: "/".join(p) for k, p in LEAVES.items()}, F.lit("")) == F.concat_ws("/", l1, l2), F.lit(False))
 
 
-def _band(meta: Column, low: str, high: str) -> Column:
-    a, b = number(field(meta, f"signal_params.{low}"), "nonnegative"), number(field(meta, f"signal_params.{high}"))
+_CENTER, _CARRIER = ["center_freq_hz", "center_frequency_hz"], ["carrier_freq_hz", "carrier_frequency_hz"]
+_PARAMS = ", ".join(f"{c} string" for c in [*_CENTER, *_CARRIER, "band_low_hz", "band_high_hz", "subband_low_hz", "subband_high_hz"])
+_GEOMETRY = ", ".join(f"{c} string" for c in ("source_depth_m", "receiver_depth_m", "range_m", "water_depth_m")) + ", geometry struct<tx_depth_m:string,rx_depth_m:string,range_m:string,water_depth_m:string>"
+
+
+def _band(p: Column, low: str, high: str) -> Column:
+    a, b = number(p[low], "nonnegative"), number(p[high])
     return F.when(a < b, (a + b) / 2)
 
 
 def source_frequency(meta: Column, leaf_key: Column) -> Column:
     """struct value, origin: carrier before center for communication, center before carrier else, then the occupied band's middle."""
-    center, carrier = ["center_freq_hz", "center_frequency_hz"], ["carrier_freq_hz", "carrier_frequency_hz"]
 
-    def first(keys: list[str]) -> Column:
-        found = [(number(field(meta, f"signal_params.{k}"), "positive"), f"signal_params.{k}") for k in keys]
-        found.append((_band(meta, "band_low_hz", "band_high_hz"), "signal_params.band_midpoint_hz"))
+    def first(p: Column, keys: list[str]) -> Column:
+        found = [(number(p[k], "positive"), f"signal_params.{k}") for k in keys]
+        found.append((_band(p, "band_low_hz", "band_high_hz"), "signal_params.band_midpoint_hz"))
         return F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(name).alias("origin"))) for v, name in found])
 
     communication = leaf_key.isin([k for k, p in LEAVES.items() if p[1] == "communication"])
-    return F.when(communication, first(carrier + center)).otherwise(first(center + carrier))
+    return let(F.from_json(field(meta, "signal_params"), _PARAMS), lambda p: F.when(communication, first(p, _CARRIER + _CENTER)).otherwise(first(p, _CENTER + _CARRIER)))
 
 
 def solver_frequency(meta: Column) -> Column:
     """Center, carrier, occupied band's middle, nominal band's middle: the first that is there."""
-    own = [number(field(meta, f"signal_params.{k}"), "positive") for k in ("center_freq_hz", "carrier_freq_hz")]
-    return F.coalesce(*own, _band(meta, "band_low_hz", "band_high_hz"), _band(meta, "subband_low_hz", "subband_high_hz"))
+    own = lambda p: [number(p[k], "positive") for k in (_CENTER[0], _CARRIER[0])]
+    return let(F.from_json(field(meta, "signal_params"), _PARAMS), lambda p: F.coalesce(*own(p), _band(p, "band_low_hz", "band_high_hz"), _band(p, "subband_low_hz", "subband_high_hz")))
 
 
 def geometry(meta: Column) -> Column:
     """struct tx_depth_m, rx_depth_m, range_m, water_depth_m: the field at the top, or else the one inside geometry."""
-    either = lambda top, inside, sign: F.coalesce(number(field(meta, top), sign), number(field(meta, f"geometry.{inside}"), sign)).alias(inside)
-    return F.struct(either("source_depth_m", "tx_depth_m", "nonnegative"), either("receiver_depth_m", "rx_depth_m", "nonnegative"), either("range_m", "range_m", "positive"), either("water_depth_m", "water_depth_m", "positive"))
+    either = lambda m, top, inside, sign: F.coalesce(number(m[top], sign), number(m["geometry"][inside], sign)).alias(inside)
+    return let(F.from_json(meta, _GEOMETRY), lambda m: F.struct(either(m, "source_depth_m", "tx_depth_m", "nonnegative"), either(m, "receiver_depth_m", "rx_depth_m", "nonnegative"), either(m, "range_m", "range_m", "positive"), either(m, "water_depth_m", "water_depth_m", "positive")))
 
 
 def channel_metrics(meta: Column, env: str, output: str) -> Column:

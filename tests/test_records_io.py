@@ -142,3 +142,25 @@ def test_broken_metadata_gives_nulls(spark):
     m = F.col("m")
     rows = df.select(labels.key_labels(m).alias("k"), labels.geometry(m).alias("g"), labels.solver_frequency(m).alias("f"), labels.source_frequency(m, F.lit("CW")).alias("s"), labels.channel_metrics(m, "env", "output").alias("c")).collect()
     assert all(tuple(r["k"]) == ("unknown",) * 3 and set(r["g"]) == {None} and r["f"] is None and r["s"] is None and set(r["c"]) == {None} for r in rows)
+
+
+def test_ship_phrases(spark):
+    from evalweave.functions import evidence
+
+    lines = [{"frequency_hz": 40, "source_type": "Shaft_Harmonic"}, {"frequency_hz": "300", "source_type": "blade_harmonic"}, {"frequency_hz": None}]
+    docs = {
+        "all": {"signal_params": {"lines": lines, "shaft_mod_coeff": 0.1, "blade_mod_coeff": 0.05}},
+        "range": {"signal_params": {"line_frequency_range_hz": [10, 240], "num_lines": 9}},
+        "none": {},
+        "odd": {"signal_params": {"lines": 3, "num_lines": "x"}},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()] + [("null", None)], "k string, m string")
+    got = {r["k"]: r["e"] for r in df.select("k", evidence.evidence(F.lit("cargo"), F.col("m"), F.col("k")).alias("e")).collect()}
+    assert got["all"][:2] == ["tonal components spread across the low-to-mid-frequency band", "sparse discrete tonal structure"]
+    assert {w for w in ("shaft- and blade-rate-related harmonic lines", "moderate periodic amplitude modulation") if w in got["all"][2]} == {"shaft- and blade-rate-related harmonic lines", "moderate periodic amplitude modulation"}
+    assert got["range"][:2] == ["tonal components concentrated in the low-frequency band", "dense discrete tonal structure"]
+    for k in ("none", "odd", "null"):
+        assert got[k][:2] == ["broadband-plus-tonal vessel noise", "discrete machinery tonal components"], k
+    sweeps = df.select(evidence.evidence(F.lit("LFM"), F.lit('{"signal_params": {"sweep_direction": " Up "}}'), F.col("k")).alias("e")).collect()
+    assert all(r["e"][2] in ("linear upsweep", "frequency increases linearly with time") for r in sweeps)
+    assert df.select(evidence.evidence(F.lit("other"), F.col("m"), F.col("k")).alias("e")).filter("e is not null").count() == 0
