@@ -10,16 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a group.
-RANGES = 256
+#: Ranges of a group, and cuts that are looked through at once to find a value's range.
+RANGES, STEP = 256, 16
+
+
+def _range(v: Column, cuts: Column, coarse: Column) -> Column:
+    """How many of the ascending cuts are below v: by every STEP-th cut, then by the cuts behind the last of those below v."""
+    below = lambda a: F.size(F.filter(a, lambda k: k < v))
+    skipped = below(coarse) * STEP
+    return skipped + below(F.slice(cuts, skipped + 1, F.lit(STEP)))
 
 
 def cumulative(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, value, n, upto, total: distinct values, their counts, rows up to and with each, rows of the group. Nulls are left out of
     values; a null group is a group."""
     c = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = c.groupBy(F.col(group).alias("_of")).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"))
-    x = c.join(cuts, c[group].eqNullSafe(cuts["_of"])).select(group, value, "n", F.size(F.filter("_cuts", lambda k: k < F.col(value))).alias("_b"))
+    cuts = c.groupBy(F.col(group).alias("_of")).agg(F.array_distinct(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000)).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % STEP == STEP - 1))
+    x = c.join(cuts, c[group].eqNullSafe(cuts["_of"])).select(group, value, "n", _range(F.col(value), F.col("_cuts"), F.col("_coarse")).alias("_b"))
     sums = x.groupBy(F.col(group).alias("_of"), F.col("_b").alias("_k")).agg(F.sum("n").alias("_s"))
     w = Window.partitionBy("_of")
     before = sums.select("_of", "_k", (F.sum("_s").over(w.orderBy("_k")) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("total"))
