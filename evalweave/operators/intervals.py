@@ -34,31 +34,84 @@ def paired_difference(counts: DataFrame, z: float = Z95) -> DataFrame:
     return counts.withColumns({"delta": F.round(d / n, 6), "low": F.round(d / n - half, 6), "high": F.round(d / n + half, 6)})
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, replicates: int = 10_000, seed: int = 20261008, tasks: int = 32) -> DataFrame:
-    """df (cluster, a, b boolean) -> percentile interval of accuracy a, b and their difference over resampled clusters.
+def _scores(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """c (..., 5, classes): support, predicted and hits of a, predicted and hits of b -> accuracy and macro F1, (..., 2) for a and b.
 
-    Clusters are reduced to their counts and these to (counts, clusters with them): drawing clusters is drawing these kinds
-    by a multinomial, so what goes to the tasks grows with the kinds of clusters, not with the rows. Each replicate has its
-    own seed, so results don't depend on partitions.
+    F1 is rounded to 4 places by class, as numpy rounds; the mean is over classes with support.
     """
-    kinds = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("ka"), F.count_if("b").alias("kb")).groupBy("n", "ka", "kb").agg(F.count(F.lit(1)).alias("m"))
-    k = np.array([tuple(r) for r in kinds.orderBy("n", "ka", "kb").collect()], np.int64).reshape(-1, 4)
-    total = int(k[:, 3].sum())
+    support, predicted, hits = c[..., 0:1, :], c[..., 1::2, :], c[..., 2::2, :]
+    f1 = np.round(np.divide(2.0 * hits, predicted + support, out=np.zeros(hits.shape), where=predicted + support > 0), 4)
+    return hits.sum(-1) / support.sum(-1), np.where(support > 0, f1, 0.0).sum(-1) / (support > 0).sum(-1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def cluster_bootstrap(df: DataFrame, cluster: str, classes: list[str], replicates: int = 10_000, seed: int = 20261008, tasks: int = 32, shard_kinds: int = 4096) -> DataFrame:
+    """df (cluster, truth, pred_a, pred_b) -> estimate and 95% percentile interval of accuracy and macro F1 of runs a, b and a - b.
+
+    measure (accuracy, macro_f1), run (a, b, delta), estimate, low, high; no rows for no input. A truth that isn't a class is
+    an error; a prediction that isn't one is wrong.
+
+    Both measures need of a cluster only its classes' support, predictions and hits, which add up over clusters. Clusters are
+    reduced to these counts and dealt by their hash into shards. A replicate draws by a multinomial how many clusters each
+    shard gives, then each shard draws that many of its own: together this is drawing all clusters with replacement, and no
+    task or driver holds more than a shard (with up to 1024 shards). Each replicate has its own seed in each shard, so results
+    don't depend on partitions.
+    """
+    of = lambda c, x: F.col(c) == x
+    cells = [F.count_if(of("truth", x)) for x in classes]
+    for p in ("pred_a", "pred_b"):
+        cells += [F.count_if(of(p, x)) for x in classes] + [F.count_if(of(p, x) & of("truth", x)) for x in classes]
+    width = len(cells)
+    stray = F.count_if(~F.coalesce(F.col("truth").isin(classes), F.lit(False)))
+    kinds = df.groupBy(cluster).agg(F.array(*cells, stray).alias("counts")).groupBy("counts").agg(F.count(F.lit(1)).alias("m"))
+    bucket = lambda n: F.pmod(F.xxhash64("counts"), F.lit(n)).cast("int")
+    sums = [F.sum(F.get("counts", F.lit(i)) * F.col("m")) for i in range(width + 1)]
+    found = kinds.groupBy(bucket(1024).alias("bucket")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("m"), F.array(*sums).alias("counts")).collect()  # 1024 rows at most
+    schema = "measure string, run string, estimate double, low double, high double"
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    whole = np.array([r["counts"] for r in found], np.int64).sum(0)
+    if whole[-1]:
+        raise ValueError(f"{whole[-1]} rows with a truth that is not a class")
+    shards = 1
+    while shards < 1024 and sum(r["kinds"] for r in found) > shards * shard_kinds:
+        shards *= 2
+    held = np.zeros(shards, np.int64)  # clusters
+    for r in found:
+        held[r["bucket"] % shards] += r["m"]
+    total, parts = int(held.sum()), max(1, tasks // shards)
+
+    def draw(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        shard, part = map(int, key)
+        own = sorted((*c, m) for c, m in zip(x["counts"].map(tuple), x["m"], strict=True))
+        counts, m = np.array(own, float)[:, :width], np.array([r[-1] for r in own], np.int64)
+        # of many clusters of few kinds the kinds are drawn, else the clusters
+        few = m.sum() > 16 * len(m)
+        kind = None if few else np.repeat(np.arange(len(m)), m)
+        rows = []
+        for i in range(part, replicates, parts):
+            n = np.random.default_rng([seed, i, 0]).multinomial(total, held / total)[shard]
+            rng = np.random.default_rng([seed, i, 1 + shard])
+            drawn = rng.multinomial(n, m / m.sum()) if few else np.bincount(kind[rng.integers(0, len(kind), n)], minlength=len(m))
+            rows.append((i, drawn @ counts))
+        return pd.DataFrame(rows, columns=["id", "counts"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
-            for i in x["id"]:
-                drawn = np.random.default_rng([seed, int(i)]).multinomial(total, k[:, 3] / total)
-                n, a, b = drawn @ k[:, :3]
-                rows.append((a / n, b / n, (a - b) / n))
-            yield pd.DataFrame(rows, columns=["acc_a", "acc_b", "delta"])
-
-    if not total:
-        return df.sparkSession.createDataFrame([], "measure string, low double, high double")
-    drawn = df.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "acc_a double, acc_b double, delta double")
-    long = drawn.select(F.explode(F.map_from_arrays(F.array(F.lit("acc_a"), F.lit("acc_b"), F.lit("delta")), F.array("acc_a", "acc_b", "delta"))).alias("measure", "v"))
-    return long.groupBy("measure").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("measure", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+            if len(x):
+                yield pd.DataFrame(np.hstack(_scores(np.stack(x["counts"].to_list()).reshape(-1, 5, len(classes)))), columns=["acc_a", "acc_b", "f1_a", "f1_b"])
+
+    dealt = kinds.select("counts", "m", bucket(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = dealt.repartition(shards * parts, "shard", "part")  # a number that adaptive execution keeps: rows are few, draws are many
+    drawn = dealt.groupBy("shard", "part").applyInPandas(draw, "id long, counts array<double>")
+    drawn = drawn.groupBy("id").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(width)]).alias("counts"))
+    scored = drawn.select("counts").mapInPandas(score, "acc_a double, acc_b double, f1_a double, f1_b double")
+    rows = []
+    for measure, c, (a, b) in zip(("accuracy", "macro_f1"), ("acc", "f1"), _scores(whole[:-1].reshape(5, -1)), strict=True):
+        for run, v, estimate in (("a", F.col(f"{c}_a"), a), ("b", F.col(f"{c}_b"), b), ("delta", F.col(f"{c}_a") - F.col(f"{c}_b"), a - b)):
+            rows.append(F.struct(F.lit(measure).alias("measure"), F.lit(run).alias("run"), F.lit(float(estimate)).alias("estimate"), v.alias("v")))
+    long = scored.select(F.inline(F.array(*rows)))
+    q = long.groupBy("measure", "run", "estimate").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return q.select("measure", "run", "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, tasks: int = 8) -> DataFrame:

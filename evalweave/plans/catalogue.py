@@ -134,7 +134,8 @@ def wilson_interval(spark, d):
 
 @query()
 def cluster_bootstrap(spark, d):
-    return intervals.cluster_bootstrap(_pairs(spark, d), "user_id")
+    p = predictions(spark, d).select("user_id", "truth", F.col("pred").alias("pred_a"), "pred_b")
+    return intervals.cluster_bootstrap(p, "user_id", CLASSES)
 
 
 @query("SELECT user_id, CAST(sum(n) AS BIGINT) AS votes, round(max(n) / sum(n), 6) AS agreement FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
