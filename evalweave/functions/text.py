@@ -34,12 +34,6 @@ def number_with_unit(c: Column) -> Column:
     return number * factor
 
 
-def short_answer(output: Column, options: Column) -> Column:
-    """options: map of letter to label. The label of an answer that is one letter, else the empty string."""
-    letter = F.upper(F.regexp_extract(output, r"^(?U)\s*([A-Za-z])(?U)\s*$", 1))
-    return F.coalesce(F.try_element_at(options, F.nullif(letter, F.lit(""))), F.lit(""))
-
-
 def delimited_field(c: Column, name: str) -> Column:
     """What follows [name] and a colon or equals sign, without marks at its end; empty if there is none."""
     value = F.regexp_extract(c, rf"\[?{re.escape(name)}\]?\s*[:=：]?\s*([^\s;]+)", 1)

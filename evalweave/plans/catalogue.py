@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalweave.functions import arrays, text
+from evalweave.functions import arrays, options, text
 from evalweave.operators import cascade, intervals, metrics, relations, selection
 from evalweave.operators.quantiles import cumulative
 
@@ -17,6 +17,8 @@ _SQL: dict[str, str] = {}
 
 #: Predictions for events by a fixed rule: classes, in order, and what an event's number makes of the truth.
 CLASSES = ["click", "error", "purchase", "signup", "view"]
+#: Their names in option texts, by level.
+EVENT_ALIASES = {"l1": {"passive": ["click", "view"], "active": ["error", "purchase", "signup"]}, "l3": {c: [c] for c in CLASSES}}
 _NEXT = "CASE event_type WHEN 'click' THEN 'error' WHEN 'error' THEN 'purchase' WHEN 'purchase' THEN 'signup' WHEN 'signup' THEN 'view' ELSE 'click' END"
 _L1 = "CASE WHEN {} IN ('click', 'view') THEN 'passive' WHEN {} = 'unknown' THEN 'unknown' ELSE 'active' END"
 
@@ -102,7 +104,12 @@ def outcome_decomposition(spark, d):
 
 @query(f"SELECT CASE WHEN NOT valid THEN 0 WHEN pred = 'unknown' THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS tier, count(*) AS n FROM ({_LEVELS}) GROUP BY 1")
 def parse_tier_hist(spark, d):
-    tier = F.when(~F.col("valid"), 0).when(F.col("pred") == "unknown", 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
+    # an invalid event stands for one that was not asked; every third prompt spells its options with marks between
+    names = [*CLASSES, "none of these"]
+    prompt = lambda spell: F.lit("What was it?\nOptions:\n" + "\n".join(f"{chr(65 + i)}. {spell(x)}" for i, x in enumerate(names)))
+    letter = F.element_at(F.array(*[F.lit(chr(65 + i)) for i in range(len(names))]), F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CLASSES)), F.col("pred")), F.lit(0)), F.lit(len(names))).cast("int"))
+    said = options.parse(letter, F.when(F.col("event_id") % 3 == 0, prompt("-".join)).otherwise(prompt(str.capitalize)), EVENT_ALIASES)
+    tier = F.when(~F.col("valid"), 0).otherwise(said["parse_tier"])
     return predictions(spark, d).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -275,8 +282,9 @@ def source_id_normalise(spark, d):
 @query("WITH a AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN ' a ' WHEN 1 THEN 'B' WHEN 2 THEN 'c.' ELSE 'D' END AS answer FROM conversations) SELECT conv_id, turn, CASE upper(trim(answer)) WHEN 'A' THEN 'active' WHEN 'B' THEN 'passive' ELSE '' END AS label FROM a")
 def option_parse(spark, d):
     a = read(spark, d, "conversations").withColumn("answer", F.element_at(F.array(F.lit(" a "), F.lit("B"), F.lit("c."), F.lit("D")), (F.col("conv_id") % 4 + 1).cast("int")))
-    options = F.create_map(F.lit("A"), F.lit("active"), F.lit("B"), F.lit("passive"))
-    return a.select("conv_id", "turn", text.short_answer(F.col("answer"), options).alias("label"))
+    prompt = F.lit("Classify the sound by its source.\nOptions:\nA. Active - Deliberately transmitted signal\nB. Passive - Source-radiated noise\nReply with the letter only.")
+    said = a.select("conv_id", "turn", options.parse(F.col("answer"), prompt, first_only=True).alias("said"))
+    return said.select("conv_id", "turn", F.when(F.col("said.parse_status") == "valid_option", F.col("said.l1")).otherwise("").alias("label"))
 
 
 _TERMS = ["the", "and", "license", "mail"]
