@@ -10,6 +10,9 @@ Positions come from what lies between matches: a text is split at a kind's match
 Hashes are pre-aggregated by (hash, owner, repository), and of the counts only widely copied values, which can be nobody's
 own, are joined back, as written tables that Spark splits by size. Texts are not shuffled by `scan`.
 
+Without a column for the repository the owner stands for it: then MOST_REPOS decides nothing, as in `query` and the
+pipeline, whose documents have a source only.
+
 Null text: empty. Null source: an owner of its own. Null doc_id, repeated rows: each is a row of the result. An empty
 table: no rows. Other columns of the documents pass through `redact` untouched.
 """
@@ -78,9 +81,9 @@ def scan(docs: DataFrame, owner: str = "source", repo: str | None = None) -> Dat
     return out.select("doc_id", "text_hash", F.filter(judged, lambda s: (s["kind"] < 3) | s["live"]).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str | None = None) -> DataFrame:
     """The documents, all columns, in which [SECRET] or, for a widely copied value, [EXAMPLE] stands for each span; n_chars follows."""
-    spans = materialize(scan(docs, owner).filter(F.size("spans") > 0).distinct(), "secret-spans")
+    spans = materialize(scan(docs, owner, repo).filter(F.size("spans") > 0).distinct(), "secret-spans")
     d, h, s, cut = free_name(docs, "_d", "_h", "_s", "_cut")
     # of rows with one id and text the spans are the same but for verdicts by owner: a live one counts
     spans = spans.groupBy("doc_id", "text_hash").agg(F.max("spans").alias(s)).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), s)
