@@ -16,12 +16,12 @@ empty table: no rows. Very long texts: as many full pieces as needed. Other colu
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +75,38 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a piece; nth counts those of its length in the task before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, task, seen = encoder(path), struct.pack("<I", end_id), TaskContext.get().partitionId(), {}
-        for x in batches:
-            rows = []
-            for d, ids in zip(x["doc_id"].astype("Int64"), enc.encode(["" if t is None else t for t in x["text"]]), strict=True):
-                ids = memoryview(ids + end)
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    own = min(size, n - start)
-                    nth = seen.get(own, 0)
-                    seen[own] = nth + 1
-                    rows.append((d, start, own, zlib.crc32(ids[4 * start : 4 * (start + own)]), n, task, nth))
-            y = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
-            y["doc_id"] = y["doc_id"].astype("Int64")
-            yield y
-
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+        enc, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for b in batches:
+            at, doc_ids = 0, b.column(0).cast(pa.int64())
+            for ids, ends in enc.runs(b.column(1), end_id):
+                tokens = np.diff(ends, prepend=0)
+                cut = -(-tokens // size)
+                doc = np.repeat(np.arange(len(ends)), cut)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(cut) - cut, cut)) * size
+                length = np.minimum(size, tokens[doc] - start)
+                low = (ends - tokens)[doc] + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(low.tolist(), (low + length).tolist(), strict=True)]
+                nth, seen = _ranks(length, seen)
+                columns = [doc_ids.take(pa.array(at + doc)), start, length, crc, tokens[doc], np.full(len(doc), task, np.int32), nth]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.int32(), pa.int64()], strict=True)], PIECES.replace(" long", "").replace(" int", "").split(", "))
+                at += len(ends)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+
+
+def _ranks(length: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its length are before each, seen being those before all; and the new seen."""
+    order = np.argsort(length, kind="stable")
+    many = np.bincount(length, minlength=len(seen))
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(length)) - np.repeat(np.cumsum(many) - many, many) + seen[length[order]]
+    return out, seen + many
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:

@@ -1,154 +1,249 @@
 """Token ids by the tokenizers library, with each distinct word encoded once by a worker.
 
 No token of these vocabularies crosses the places where a text is cut (in front of one space or line feed between other
-characters, and between a letter and one closing mark), so the pieces' ids, one after another, are the ids of the whole
-text; tests hold both against the library on whole texts. A text with other white space goes to the library in larger
-pieces or whole. A cache is emptied when it is full: that costs time, never ids.
+characters, and between a run of letters and the marks behind it), so the pieces' ids, one after another, are the ids of the
+whole text; tests hold both against the library on whole texts. A text with other white space goes to the library in larger
+pieces or whole.
+
+A batch of texts is split into words, these are numbered and looked up among the words that are held, all by Arrow. New words
+of Latin letters, marks behind them or not, go straight to the library's model, many at a time, as the pre-tokenizer would hand
+them over; any other goes through the whole library. A batch's ids are gathered from one array that holds the runs of ids of
+all words. What is held is dropped when it is full: that costs time, never ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_right
+from itertools import chain
 
-#: Words held by a worker, at some 200 bytes each.
-CACHE = 500_000
-#: Characters of the texts whose words are taken apart at once, unless one text has more.
-AT_ONCE = 1_000_000
+#: Words held by a worker, at some 50 bytes each.
+CACHE = 1_000_000
+#: Bytes of the texts that are taken apart at once, unless one text has more.
+AT_ONCE = 8 << 20
 #: New words joined for one call of the library.
 JOINED = 256
 
-#: White space other than space and line feed, and what some libraries take for it.
-_TABS = "\t\r"
-_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
-_ODD = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
+#: White space in which a text may be uneven: other than one space or line feed between other characters.
+_ODD = "\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+_UNEVEN = f"[ \\n][ \\n]|^[ \\n]|[ \\n]$|[\\t\\r{_ODD}]"
+_IS_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_MARKS = frozenset(".,;:!?")
+#: Latin letters (both vocabularies cut before any mark that follows), composed ones only where lower case is one letter too.
+_MARKS = ".,;:!?"
+_PLAIN = f"^\\n?[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]?$"
 
 
-def _is_odd(text: str) -> bool:
-    return any(c in text for c in _ODD_ASCII) or not text.isascii() and any(c in text for c in _ODD)
-
-
-def _is_uneven(text: str) -> bool:
-    """Whether white space is other than one space or line feed between other characters."""
-    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _TABS) or _is_odd(text)
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next from U+0100."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class PieceEncoder:
     def __init__(self, path: str, dtype: str = "<u4", cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.np, self.dtype, self.most = np, dtype, cache
+        self.np, self.dtype, self.most = np, np.dtype(dtype), cache
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = self._ids(" a") == self._ids("a")
-        self.words: dict[str, bytes] = {}  # as they stand behind a space, or with the line feed before them
-        self.first: dict[str, bytes] = self.words if self.drops_space else {}  # at the start of a text
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.drops_space = self._ids(" a") == self._ids("a")  # and then lower-cases, as tests see
+        # the same model, given words that are parted already
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.letters = _byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a token, without the mark of a word's end
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>") if self.drops_space else token)
+        self._forget()
+
+    def _forget(self) -> None:
+        import pyarrow as pa
+
+        np = self.np
+        self.words = pa.array([], pa.large_string())  # as they stand behind a space, or with the line feed before them
+        self.first: dict[str, list[int]] = {}  # at the start of a text, where that differs
+        self.pieces: dict[str, list[int]] = {}
+        self.marks: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers."""
-        out, own, size = [], [], 0
-        for t in texts:
-            own.append(t)
-            size += len(t)
-            if size > AT_ONCE:
-                out += self._encode(own)
-                own, size = [], 0
-        return out + self._encode(own)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        for held in (self.words, self.first, self.pieces):
-            if len(held) > self.most:
-                held.clear()
-        get, out, found = self.words.get, [], []
-        new, opening = {}, {}
-        for t in texts:
-            if not t or _is_uneven(t):
-                out.append(self._uneven(t))
-                continue
-            words = t.replace("\n", " ").split(" ") if self.drops_space else t.replace("\n", " \n").split(" ")
-            ids = list(map(get, words))
-            if not self.drops_space:
-                ids[0] = self.first.get(words[0])
-                if ids[0] is None:
-                    opening[words[0]] = None
-            gaps, i = [], -1
-            try:
-                while True:
-                    i = ids.index(None, i + 1)
-                    gaps.append(i)
-                    if i or self.drops_space:
-                        new[words[i]] = None
-            except ValueError:
-                pass
-            found.append((len(out), ids, [(i, words[i]) for i in gaps]))
-            out.append(b"")
-        self._learn(new, self.words)
-        for w in opening:
-            self.first[w] = self._ids(w)
-        for k, ids, gaps in found:
-            for i, w in gaps:
-                ids[i] = self.words[w] if i else self.first[w]
-            out[k] = b"".join(ids)
+        import pyarrow as pa
+
+        out: list[bytes] = []
+        for ids, ends in self.runs(pa.array(texts, pa.large_string())):
+            raw, at, size = ids.tobytes(), 0, self.dtype.itemsize
+            for end in ends.tolist():
+                out.append(raw[at : end * size])
+                at = end * size
         return out
 
-    def _learn(self, words: dict[str, None], held: dict[str, bytes]) -> None:
-        whole, marked = {}, []
-        for w in words:
-            if len(w) > 1 and w[-1] in _MARKS and w[-2].isalpha() and len(w[-2].lower()) == 1:
-                marked.append(w)
-                w = w[:-1]
-                if w in held:
-                    continue
-            whole[w] = None
-        whole = list(whole)
-        size = self.np.dtype(self.dtype).itemsize
-        for i in range(0, len(whole), JOINED):
-            part = [w if w[0] == "\n" else " " + w for w in whole[i : i + JOINED]]
-            starts, at = [], 0
-            for w in part:
-                starts.append(at)
-                at += len(w)
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, cuts, now = self.np.array(e.ids, self.dtype).tobytes(), [0] * (len(part) + 1), 1
-            for k, (a, _) in enumerate(e.offsets):
-                if now < len(starts) and a >= starts[now]:
-                    at = bisect_right(starts, a)
-                    while now < at:
-                        cuts[now] = k * size
-                        now += 1
-            cuts[len(part)] = len(ids)
-            for w, a, b in zip(whole[i : i + JOINED], cuts, cuts[1:], strict=False):
-                held[w] = ids[a:b]
-        for w in marked:
-            if w[-1] not in self.pieces:
-                self.pieces[w[-1]] = self._ids(w[-1])
-            held[w] = held[w[:-1]] + self.pieces[w[-1]]
-
-    def _uneven(self, text: str) -> bytes:
-        if not text or _is_odd(text):
-            return self._ids(text) if text else b""
-        out = []
+    def runs(self, texts, end_id: int | None = None):
+        """Of an Arrow array of texts (null: empty): (ids of some texts in a row, where each ends), an end id behind each if given."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield self._run(texts[at:to], end_id)
+            at = to
+
+    def _run(self, texts, end_id: int | None):
+        import pyarrow.compute as pc
+
+        np, n = self.np, len(texts)
+        if max(len(self.words), len(self.pieces), len(self.first)) > self.most:
+            self._forget()
+        extra = int(end_id is not None)
+        even = ~(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0))
+        own = texts if even.all() else texts.filter(even)
+        split = pc.split_pattern(pc.replace_substring(own, "\n", " " if self.drops_space else " \n"), " ")
+        bounds = split.offsets.to_numpy()
+        bounds = bounds - bounds[:1]
+        all_words = split.flatten()
+        numbered = all_words.dictionary_encode()
+        word = self._numbers(numbered.dictionary)[numbered.indices.to_numpy()]
+        starts, many = self.starts[word], self.lengths[word]
+        flat = self.flat
+        if not self.drops_space and len(own):
+            k = bounds[:-1]
+            opening = [self._opening(w) for w in all_words.take(k).to_pylist()]
+            many[k] = list(map(len, opening))
+            starts[k] = len(flat) + np.cumsum(many[k]) - many[k]
+            flat = np.concatenate((flat, np.fromiter(chain.from_iterable(opening), self.dtype)))
+        upto = np.concatenate(([0], np.cumsum(many)))
+        rest = [self._uneven(t) for t in texts.filter(~even).to_pylist()] if not even.all() else []
+        length = np.zeros(n, np.int64)
+        length[even] = upto[bounds[1:]] - upto[bounds[:-1]]
+        length[~even] = list(map(len, rest))
+        ends = np.cumsum(length + extra)
+        # a word's ids lie in flat from its start on: what its place in the result is ahead of that goes to all of them
+        ids = flat[np.repeat(starts - upto[:-1], many) + np.arange(upto[-1])]
+        if not rest and not extra:
+            return ids, ends
+        out = np.empty(int(ends[-1]) if n else 0, self.dtype)
+        of_text = np.repeat(even, length + extra)
+        if extra:
+            out[ends - 1] = end_id
+            of_text[ends - 1] = False
+        out[of_text] = ids
+        for k, x in zip(np.flatnonzero(~even).tolist(), rest, strict=True):
+            out[ends[k] - extra - len(x) : ends[k] - extra] = x
+        return out, ends
+
+    def _numbers(self, words):
+        """The number of each word of an Arrow array, new ones being learned."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        found = pc.index_in(words, self.words)
+        missing = found.is_null()
+        new = words.filter(missing)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            ids, lengths = self._learn(new)
+            at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.flat = np.concatenate((self.flat, ids))
+        return at
+
+    def _learn(self, words):
+        """(Ids, how many each has) of words that stand behind a space, or of a line feed and a word."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        own = words.filter(plain)
+        feed = pc.starts_with(own, "\n").to_numpy(zero_copy_only=False)
+        letters = pc.utf8_ltrim(pc.utf8_rtrim(own, _MARKS), "\n")
+        marked = pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(letters).to_numpy(zero_copy_only=False) > feed
+        if self.drops_space:
+            letters = pc.utf8_lower(letters)
+        else:
+            letters = pc.if_else(feed, letters, pc.binary_join_element_wise(pa.scalar(" ", letters.type), letters, pa.scalar("", letters.type)))
+        ids, lengths = self._model_ids(letters)
+        full = np.zeros(len(words), np.int64)
+        full[plain] = lengths + feed + marked
+        others = [self._ids(w if w[:1] == "\n" else " " + w) if w else [] for w in words.filter(~plain).to_pylist()]
+        full[~plain] = list(map(len, others))
+        out, ends = np.empty(int(full.sum()), self.dtype), np.cumsum(full)
+        of_letters = np.repeat(plain, full)
+        at = ends[plain][marked] - 1
+        out[at] = [self._one(m) for m in pc.utf8_slice_codeunits(own.filter(marked), -1).to_pylist()]
+        of_letters[at] = False
+        at = (ends - full)[plain][feed]
+        if len(at):
+            out[at] = [] if self.drops_space else self._one("\n")
+            of_letters[at] = False
+        out[of_letters] = ids
+        out[np.repeat(~plain, full)] = np.fromiter(chain.from_iterable(others), self.dtype)
+        return out, full
+
+    def _model_ids(self, words):
+        """(Ids, how many each has) of words by the model alone, each byte as its letter."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np, ids = self.np, []
+        for i in range(0, len(words), JOINED):
+            joined = pc.binary_join(_one_list(words[i : i + JOINED]), pa.scalar("\n", words.type))[0].as_py()
+            text = joined.encode().decode("latin-1").translate(self.letters).replace(self.letters[10], "\n")
+            ids.append(np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype))
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
+        # tokens spell the words byte by byte: a word ends where as many bytes are spelt
+        spelt = np.cumsum(self.bytes_of[flat])
+        ends = np.searchsorted(spelt, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)), "left") + 1
+        return flat, np.diff(ends, prepend=0)
+
+    def _one(self, mark: str) -> int:
+        """The one id of a mark."""
+        if mark not in self.marks:
+            (self.marks[mark],) = self._ids(mark)
+        return self.marks[mark]
+
+    def _opening(self, word: str) -> list[int]:
+        if word not in self.first:
+            self.first[word] = self._ids(word)
+        return self.first[word]
+
+    def _uneven(self, text: str) -> list[int]:
+        if not text or _IS_ODD.search(text):
+            return self._ids(text) if text else []
+        out: list[int] = []
         for piece in _CUT.split(text):
             if piece not in self.pieces:
                 self.pieces[piece] = self._ids(piece)
-            out.append(self.pieces[piece])
-        return b"".join(out)
+            out += self.pieces[piece]
+        return out
+
+
+def _one_list(words):
+    import pyarrow as pa
+
+    return pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
 
 
 _held: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def encoder(path: str, dtype: str = "<u4") -> PieceEncoder:
-    """This worker's encoder: its caches last from task to task."""
+    """This worker's encoder: what it holds lasts from task to task."""
     if (path, dtype) not in _held:
         _held[path, dtype] = PieceEncoder(path, dtype)
     return _held[path, dtype]
