@@ -130,7 +130,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE) -> D
                 off[k] = offset[run] + inside // packs[run] * n
             yield x.drop(columns="rank").assign(doc_id=x["doc_id"].astype("Int64"), sequence_id=seq, offset=off)
 
-    ranked = cut.join(before, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
+    # never broadcast: the counts grow with the tasks
+    ranked = cut.join(before.hint("merge"), ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
