@@ -30,8 +30,8 @@ _UNEVEN = f"[ \\n][ \\n]|^[ \\n]|[ \\n]$|[\\t\\r{_ODD}]"
 _IS_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Latin letters (both vocabularies cut before any mark that follows), composed ones only where lower case is one letter too.
-_MARKS = ".,;:!?"
-_PLAIN = f"^\\n?[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]?$"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = f"^\\n?[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(_MARKS)}]*$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,7 +68,7 @@ class PieceEncoder:
         self.words = pa.array([], pa.large_string())  # as they stand behind a space, or with the line feed before them
         self.first: dict[str, list[int]] = {}  # at the start of a text, where that differs
         self.pieces: dict[str, list[int]] = {}
-        self.marks: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> list[int]:
@@ -104,7 +104,7 @@ class PieceEncoder:
         import pyarrow.compute as pc
 
         np, n = self.np, len(texts)
-        if max(len(self.words), len(self.pieces), len(self.first)) > self.most:
+        if max(len(self.words), len(self.pieces), len(self.first), len(self.marks)) > self.most:
             self._forget()
         extra = int(end_id is not None)
         even = ~(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0))
@@ -172,29 +172,45 @@ class PieceEncoder:
         own = words.filter(plain)
         feed = pc.starts_with(own, "\n").to_numpy(zero_copy_only=False)
         letters = pc.utf8_ltrim(pc.utf8_rtrim(own, _MARKS), "\n")
-        marked = pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(letters).to_numpy(zero_copy_only=False) > feed
+        behind = pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(letters).to_numpy(zero_copy_only=False) - feed
+        marks = self._marks(own, behind)
         if self.drops_space:
             letters = pc.utf8_lower(letters)
         else:
             letters = pc.if_else(feed, letters, pc.binary_join_element_wise(pa.scalar(" ", letters.type), letters, pa.scalar("", letters.type)))
         ids, lengths = self._model_ids(letters)
         full = np.zeros(len(words), np.int64)
-        full[plain] = lengths + feed + marked
+        of_marks = np.fromiter(map(len, marks), np.int64, len(marks))
+        full[plain] = lengths + feed
+        full[np.flatnonzero(plain)[behind > 0]] += of_marks
         others = [self._ids(w if w[:1] == "\n" else " " + w) if w else [] for w in words.filter(~plain).to_pylist()]
         full[~plain] = list(map(len, others))
         out, ends = np.empty(int(full.sum()), self.dtype), np.cumsum(full)
         of_letters = np.repeat(plain, full)
-        at = ends[plain][marked] - 1
-        out[at] = [self._one(m) for m in pc.utf8_slice_codeunits(own.filter(marked), -1).to_pylist()]
+        last = ends[plain][behind > 0]
+        at = np.repeat(last - np.cumsum(of_marks), of_marks) + np.arange(of_marks.sum())
+        out[at] = np.fromiter(chain.from_iterable(marks), self.dtype, len(at))
         of_letters[at] = False
         at = (ends - full)[plain][feed]
         if len(at):
-            out[at] = [] if self.drops_space else self._one("\n")
+            (out[at],) = self._ids("\n")
             of_letters[at] = False
         out[of_letters] = ids
         out[np.repeat(~plain, full)] = np.fromiter(chain.from_iterable(others), self.dtype)
         return out, full
 
+    def _marks(self, words, behind) -> list[list[int]]:
+        """Ids of the marks behind the words that have some."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, out = self.marks, []
+        for m in pc.replace_substring_regex(words.filter(pa.array(behind > 0)), "^\\n?[^!-~]*(?:[A-Za-z]+[^!-~]*)*", "").to_pylist():
+            if m not in held:
+                held[m] = self._ids(m)
+            out.append(held[m])
+        return out
+
     def _model_ids(self, words):
         """(Ids, how many each has) of words by the model alone, each byte as its letter."""
         import pyarrow as pa
@@ -211,12 +227,6 @@ class PieceEncoder:
         ends = np.searchsorted(spelt, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)), "left") + 1
         return flat, np.diff(ends, prepend=0)
 
-    def _one(self, mark: str) -> int:
-        """The one id of a mark."""
-        if mark not in self.marks:
-            (self.marks[mark],) = self._ids(mark)
-        return self.marks[mark]
-
     def _opening(self, word: str) -> list[int]:
         if word not in self.first:
             self.first[word] = self._ids(word)
