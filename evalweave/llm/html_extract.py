@@ -2,16 +2,17 @@
 
 Each block element and each run of text between block boundaries is a node with a binary state: there is content in it or
 not. Node potentials are the log-odds of a logistic regression on its tag, words of its class and id, length, share of text
-in links and the like; potentials of parent and child say how often states go together beyond chance. Sum-product messages
-go up the tree and down again and give each node's marginal, which is exact on a tree. Runs of text whose marginal is over a
-half are the page's blocks.
+in links and the like; potentials of parent and child say how often states go together beyond chance, for runs of text and
+for elements apart. Sum-product messages go up the tree and down again and give each node's marginal, which is exact on a
+tree. Runs of text whose marginal is over a half are the page's blocks.
 
 Both kinds of potentials are trained on labelled pages: `labelled_pages` makes pages of varied layouts, with semantic tags
 or bare divisions, whose blocks are labelled as they are made; tests hold the model against pages made from another seed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by two line
-feeds in page order; empty blocks are none. Unclosed and stray tags are put up with; a line break is white space; what no
-reader sees (head, script, style, template, comments, ...) has no node.
+feeds in page order; empty blocks are none. Unclosed and stray tags are put up with; a line break is white space; scripts,
+styles, titles, templates, frames, the fields of forms and comments have no node. Formulas, drawings' text and what stands in
+for scripts or media are text like any other. A page is read in time proportional to its length, whatever is left open in it.
 
 Null html, empty pages: the empty text. Null page_id, null url, repeated rows: each is a row of the result. Very long pages
 are read whole. An empty table: no rows. Other columns are not read.
@@ -23,6 +24,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -30,15 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or begins a quoted value in it.
+_QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 _ATTRIBUTES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_UNSEEN = frozenset("script style noscript template head title svg iframe object canvas audio video textarea select math".split())
+#: Elements whose content isn't looked at.
+_UNSEEN = frozenset("script style template title iframe noembed noframes textarea select datalist annotation annotation-xml".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _UNSEEN}
 _BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary menu center hgroup dialog button label".split())
-_VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-#: A start tag closes these where they are open, up to the nearest of the second group.
-_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
-_CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
+#: Of each kind of list or table: the elements that matter to where its parts end.
+_GROUPS = {name: k for k, names in enumerate(("li ul ol menu", "dt dd dl", "tr td th table")) for name in names.split()}
+#: A start tag closes these where the innermost open element of its group is one of them.
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 _NO_P = _BLOCK - {"button", "label"}
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id that stand for one feature each, by their beginning.
 _HINTS = ("ad", "advert", "sponsor", "promo", "banner", "cookie", "notice", "consent", "popup", "modal", "menu", "nav", "breadcrumb", "sidebar", "widget", "related", "share", "social", "comment", "reply", "footer", "header", "masthead", "login", "form", "search", "newsletter", "subscribe", "article", "content", "post", "entry", "story", "body", "main", "text", "wrapper", "container", "page")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -57,9 +64,89 @@ class Node:
         self.text, self.label = "", 0
 
 
+class _Open:
+    """The open elements: their nodes, and what makes looking for one of them cheap."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["html"]
+        self.count: dict[str, int] = {}
+        self.groups: tuple[list[int], ...] = ([], [], [])  # depths of the elements of each group
+
+    def push(self, node: int, tag: str) -> None:
+        if tag in _GROUPS:
+            self.groups[_GROUPS[tag]].append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        self.nodes.pop()
+        tag = self.tags.pop()
+        self.count[tag] -= 1
+        if tag in _GROUPS:
+            self.groups[_GROUPS[tag]].pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """The innermost element of this name and what is in it; nothing if none is open."""
+        if self.count.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def make_way(self, tag: str) -> None:
+        """For a part of a list or table."""
+        group = self.groups[_GROUPS[tag]]
+        while group and self.tags[group[-1]] in _CLOSES[tag]:
+            at, was = group[-1], self.tags[group[-1]]
+            while len(self.nodes) > at:
+                self.pop()
+            if tag != "tr" or was == "tr":
+                break
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(where it starts, where it ends, whether an end tag, lower-case name or empty for what isn't a tag, the rest) of all tags in order.
+
+    Nothing is looked at twice: a tag takes all that its quoted values hold, and a quote that is never closed, which can be
+    but the last of its kind, ends its tag at the next >. A reader may send where to go on.
+    """
+    at, size = 0, len(html)
+    while (at := html.find("<", at)) >= 0:
+        close = html.startswith("/", at + 1)
+        m = _NAME.match(html, at + 1 + close)
+        if m is None:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                end = size if end < 0 else end + 3
+            elif html.startswith(("<!", "<?", "</"), at):
+                end = html.find(">", at)
+                end = size if end < 0 else end + 1
+            else:
+                at += 1
+                continue
+            yield at, end, False, "", ""
+            at = end
+            continue
+        end = m.end()
+        while q := _QUOTE_OR_END.search(html, end):
+            if not q[1]:
+                end = q.end()
+                break
+            closing = html.find(q[1], q.end())
+            if closing < 0:
+                closing = html.find(">", q.end())
+                end = size if closing < 0 else closing + 1
+                break
+            end = closing + 1
+        else:
+            end = size
+        to = yield at, end, close, m[0].lower(), html[m.end() : end - 1]
+        at = end if to is None else to
+
+
 def parse(html: str) -> list[Node]:
     """The page's nodes, parents first; a #text node for each run of text."""
-    nodes, open_ = [Node("html", -1)], [0]
+    nodes, open_ = [Node("html", -1)], _Open()
     run: list[str] = []
     state = {"linked": 0, "in_link": False}
 
@@ -68,7 +155,7 @@ def parse(html: str) -> list[Node]:
             words = unescape("".join(run)).split() if len(run) == 1 else "".join(map(unescape, run)).split()
             run.clear()
             if words:
-                n = Node("#text", open_[-1], (), nodes[open_[-1]].region)
+                n = Node("#text", open_.nodes[-1], (), nodes[open_.nodes[-1]].region)
                 n.text, n.words, n.linked = " ".join(words), len(words), min(state["linked"], len(words))
                 n.ends = int(words[-1][-1] in ".!?:;…\"'”»)")
                 nodes.append(n)
@@ -79,29 +166,26 @@ def parse(html: str) -> list[Node]:
         if state["in_link"]:
             state["linked"] += len(text.split())
 
-    at, size = 0, len(html)
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            say(html[at:])
+    at, tags, to = 0, _tags(html), None
+    while True:
+        try:
+            start, end, close, name, rest = tags.send(to)
+        except StopIteration:
             break
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        to = None
+        if start > at:
+            say(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name in _UNSEEN:
             if not close and not rest.endswith("/"):
-                if name == "head":  # its end tag may be missing: it ends where the body begins
-                    end = re.compile(r"</head\s*>|(?=<body\b)|(?=<(?:article|main|div|p|nav|header)\b)", re.I).search(html, _after_raw(html, at))
-                else:
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
-                flush()
-            continue
-        if name == "br":
+                m = _RAW_END[name].search(html, at)
+                at = html.find(">", m.end()) + 1 if m else 0
+                to = at = at or len(html)
+                if name not in ("annotation", "annotation-xml"):
+                    flush()
+        elif name == "br":
             say(" ")
         elif name == "a":
             state["in_link"] = not close
@@ -111,32 +195,25 @@ def parse(html: str) -> list[Node]:
             flush()
             state["in_link"] = False
             if close:
-                for k in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[k]].tag == name:
-                        del open_[k:]
-                        break
+                open_.close(name)
                 continue
-            if name in ("html", "body") and (name == "html" or any(nodes[k].tag == "body" for k in open_)):
+            if name == "html" or name == "body" and open_.count.get("body"):
                 continue
-            if name in _NO_P and nodes[open_[-1]].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (nodes[open_[-1]].tag == "p" or name[0] == "h" and name[1:].isdigit()):
+            top = open_.tags[-1]
+            if name in _NO_P and (top == "p" or top in _HEADS and name in _HEADS):
                 open_.pop()
             if name in _CLOSES:
-                own, stop = _CLOSES[name]
-                for k in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[k]].tag in own:
-                        del open_[k:]
-                        break
-                    if nodes[open_[k]].tag in stop:
-                        break
+                open_.make_way(name)
             hints = ()
             if rest:
                 found = {_hint(w.lower()) for a in _ATTRIBUTES.finditer(rest) for w in _WORDS.findall(a[2] or a[3] or a[4] or "")}
                 hints = tuple(sorted(found - {-1}))
-            parent = nodes[open_[-1]]
+            parent = nodes[open_.nodes[-1]]
             region = 2 if name in _BOILERPLATE or parent.region == 2 else 1 if name in ("article", "main") or parent.region == 1 else 0
-            nodes.append(Node(name, open_[-1], hints, region))
-            if not rest.endswith("/") or name not in _VOID:
-                open_.append(len(nodes) - 1)
+            nodes.append(Node(name, open_.nodes[-1], hints, region))
+            open_.push(len(nodes) - 1, name)
+    if at < len(html):
+        say(html[at:])
     flush()
     for n in reversed(nodes):  # children come behind their parents
         if n.parent >= 0:
@@ -147,14 +224,6 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def _after_raw(html: str, at: int) -> int:
-    """Behind the scripts, styles and titles that follow in a head, whose contents may look like tags."""
-    raw = re.compile(r"\s*(?:<!--.*?-->|<(script|style|title|noscript|template)\b[^>]*>.*?</\1\s*>|<(?:meta|link|base)\b[^>]*>)", re.S | re.I)
-    while m := raw.match(html, at):
-        at = m.end()
-    return at
-
-
 def _hint(word: str) -> int:
     if word in ("ad", "ads"):
         return 0
@@ -185,18 +254,23 @@ def features(n: Node) -> list[tuple[int, float]]:
     return out
 
 
-def marginals(unary: list[float], parents: list[int], edge: list[list[float]]) -> list[float]:
-    """P(state 1) of each node of a tree by sum-product: unary log-odds, edge[parent state][child state] in logs. Parents first."""
+def marginals(unary: list[float], parents: list[int], edge: list, kinds: list[int] | None = None) -> list[float]:
+    """P(state 1) of each node of a tree by sum-product: unary log-odds, edge[parent state][child state] in logs. Parents first.
+
+    With kinds, which number the children's kinds, edge has such a table for each kind.
+    """
     n = len(parents)
+    tables = [[x for row in e for x in row] for e in (edge if kinds else [edge])]
+    own = [tables[k] for k in kinds] if kinds else tables * n
     up0, up1 = [0.0] * n, list(unary)  # beliefs from below, own potential included
     m0, m1 = [0.0] * n, [0.0] * n  # messages to the parent
-    (e00, e01), (e10, e11) = edge
 
     def lse(a: float, b: float) -> float:
         return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
     for k in range(n - 1, 0, -1):
         a, b = up0[k], up1[k]
+        e00, e01, e10, e11 = own[k]
         m0[k], m1[k] = lse(e00 + a, e01 + b), lse(e10 + a, e11 + b)
         p = parents[k]
         up0[p] += m0[k]
@@ -204,13 +278,14 @@ def marginals(unary: list[float], parents: list[int], edge: list[list[float]]) -
     for k in range(1, n):  # up*[parent] is whole by now: take the child's own message out and send the rest down
         p = parents[k]
         a, b = up0[p] - m0[k], up1[p] - m1[k]
+        e00, e01, e10, e11 = own[k]
         up0[k] += lse(e00 + a, e10 + b)
         up1[k] += lse(e01 + a, e11 + b)
     return [1 / (1 + math.exp(min(700.0, a - b))) for a, b in zip(up0, up1, strict=True)]
 
 
 class Model:
-    def __init__(self, weights: list[float], edge: list[list[float]]):
+    def __init__(self, weights: list[float], edge: list):
         self.weights, self.edge = weights, edge
 
     def blocks(self, html: str | None) -> list[str]:
@@ -218,13 +293,13 @@ class Model:
             return []
         nodes, w = parse(html), self.weights
         unary = [sum(w[i] * v for i, v in features(n)) for n in nodes]
-        found = marginals(unary, [n.parent for n in nodes], self.edge)
+        found = marginals(unary, [n.parent for n in nodes], self.edge, [int(n.tag == "#text") for n in nodes])
         return [n.text for n, p in zip(nodes, found, strict=True) if n.tag == "#text" and p > 0.5]
 
 
 def train(pages: list[tuple[str, set[str]]], ridge: float = 1.0) -> Model:
     """pages: html and the texts of its content blocks. A node's state is 1 if there is such a block in it."""
-    rows, y, pairs = [], [], np.full((2, 2), 0.5)
+    rows, y, pairs = [], [], np.full((2, 2, 2), 0.5)  # pairs: by whether the child is a run of text
     for html, content in pages:
         nodes = parse(html)
         for n in reversed(nodes):
@@ -236,7 +311,7 @@ def train(pages: list[tuple[str, set[str]]], ridge: float = 1.0) -> Model:
             rows.append(features(n))
             y.append(n.label)
             if n.parent >= 0:
-                pairs[nodes[n.parent].label, n.label] += 1
+                pairs[int(n.tag == "#text"), nodes[n.parent].label, n.label] += 1
     x = np.zeros((len(rows), len(FEATURES)))
     for k, own in enumerate(rows):
         for i, v in own:
@@ -248,8 +323,8 @@ def train(pages: list[tuple[str, set[str]]], ridge: float = 1.0) -> Model:
         w = w + step
         if abs(step).max() < 1e-6:
             break
-    joint = pairs / pairs.sum()
-    edge = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
+    joint = pairs / pairs.sum((1, 2), keepdims=True)
+    edge = np.log(joint / (joint.sum(2, keepdims=True) * joint.sum(1, keepdims=True)))
     return Model(w.tolist(), edge.tolist())
 
 
@@ -328,6 +403,10 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
         if r.random() < 0.8:
             after.append(box("footer", "footer site-footer page-footer", f"&copy; {words(1, 3)} &middot; {sentence()}" if r.random() < 0.6 else f"<p>{sentence()}</p>{links(1, 3)}"))
         body = "".join(before) + article + "".join(after)
+        if not semantic and r.random() < 0.3:  # a table that lays out the page
+            body = f"<table><tr><td{r.choice(['', ' width=20%', ' class=left'])}>{''.join(before)}</td><td>{article}</td></tr></table>{''.join(after)}"
+        if r.random() < 0.3:  # a line of links without any name
+            body = f"<div id={words(1, 1)}>{' | '.join(f'<a href=/{k}>{words(1, 2)}</a>' for k in range(r.randint(1, 5)))}</div>{body}"
         if r.random() < 0.3:
             body = f'<div class="{r.choice(["wrapper", "container", "page"])}">{body}</div>'
         pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{margin:0}}</style></head><body>{body}" + ("</body></html>" if r.random() < 0.9 else ""), content))
@@ -338,9 +417,14 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
 TRAINING = 400
 
 
+@cache
+def _trained() -> Model:
+    return train(labelled_pages(TRAINING))
+
+
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text."""
-    model = model or train(labelled_pages(TRAINING))
+    model = model or _trained()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
