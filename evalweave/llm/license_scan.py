@@ -12,7 +12,8 @@ What shares a band is a candidate, and the exact share of the template's shingle
 or more is a match.
 
 Bands of the templates stand in the plan as a set, BOUND of them at most; a larger library is taken in parts below the
-bound. Texts aren't shuffled: what a text's candidates need travels with them to the next table.
+bound. Texts aren't shuffled: the shingles of a text with candidates travel with it to the next table, and are joined there
+with the few rows that name the candidates.
 
 Null text: no words. Null doc_id, repeated rows: each is a row of the result. Texts of under five words: no match. Very long
 texts are scanned whole. An empty table: no rows. Other columns are not read.
@@ -31,11 +32,15 @@ LONG = 3 * BLOCK
 BOUND = 40_000
 # fixed values: notices by which licenses are declared
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
@@ -105,8 +110,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     own = materialize(own.select("doc_id", F.size("w").cast("long").alias("n_words"), "keys", F.when(F.size("keys") > 0, F.col("h")).alias("h")).withColumn("row", F.monotonically_increasing_id()), "license-candidates")
     of_key = spark.createDataFrame(keys, "t int, key long")
     texts = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, name string, text string").select("t", "name", F.array_distinct(shingles(words(F.col("text")))).alias("ht"))
-    pairs = own.filter(F.size("keys") > 0).select("row", "h", F.explode("keys").alias("key")).join(of_key, "key").dropDuplicates(["row", "t"]).join(texts, "t")
-    match = pairs.filter(F.size(F.array_intersect("ht", "h")) >= CONTAINED * F.size("ht")).groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
+    # a row's candidates first, without its shingles; these are read again for the rows that have some, and are not dealt out by template
+    pairs = own.select("row", F.explode("keys").alias("key")).join(of_key, "key").groupBy("row").agg(F.collect_set("t").alias("ts"))
+    candidates = own.filter(F.size("keys") > 0).select("row", "h").join(materialize(pairs, "license-pairs"), "row")
+    tried = candidates.select("row", "h", F.explode("ts").alias("t")).join(texts, "t").filter(F.size(F.array_intersect("ht", "h")) >= CONTAINED * F.size("ht"))
+    match = tried.select("row", "name").groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
     return own.select("row", "doc_id", "n_words").join(materialize(match, "license-matches"), "row", "left").select("doc_id", "n_words", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))
 
 
