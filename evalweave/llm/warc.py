@@ -42,13 +42,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str, again: int | None = None) -> str:
+    """Of the first record of a page with this payload, or of one that comes again (by its row)."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}' + ('' if again is None else f' {again}'))}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, again: int | None = None) -> bytes:
     digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        "WARC-Record-ID": record_id(page_id, digest, again),
+        "WARC-Refers-To": None if refers_to is None else record_id(refers_to, digest),
         "WARC-Date": _DATE,
         "WARC-Target-URI": None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -79,7 +85,7 @@ def parse_record(data: bytes) -> dict:
     if response and (len(payload) != size or base32_sha1(payload) != digest):
         raise RecordError("the payload isn't the one that was written")
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload": payload if response else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID")}
+    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload": payload if response else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "record_id": fields["WARC-Record-ID"], "refers_to_record": fields.get("WARC-Refers-To")}
 
 
 class _Archive:
@@ -116,30 +122,38 @@ class _Archive:
         return pd.DataFrame({"file": [self.name], "n_records": [len(self.index)]})
 
 
-def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, html) -> page_id, digest, refers_to of the rows that revisit another."""
-    html = F.coalesce("html", F.lit(""))
-    small = materialize(pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("size")), "payloads").filter(F.col("size") >= least)
-    shared = materialize(small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "refers_to"), "shared-payloads")
-    later = small.join(shared, "digest").filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return materialize(later.select("page_id", "digest", "refers_to").distinct(), "revisits")
+def repeats(pages: DataFrame, least: int = 0) -> DataFrame:
+    """pages (row, page_id, digest, size) -> row, refers_to: rows whose payload another row has, but for the first of each payload.
+
+    The first is that of the smallest page_id; refers_to is this page_id, or null if it is the row's own or there is none.
+    """
+    own = pages.filter(F.col("size") >= least)
+    order = F.struct(F.col("page_id").isNull(), "page_id", "row")
+    shared = materialize(own.groupBy("digest").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("o.page_id").alias("least"), F.col("o.row").alias("first")), "shared-payloads")
+    later = own.join(shared, "digest").filter("row <> first")
+    return materialize(later.select("row", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to")), "repeats")
 
 
 def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) -> file, n_records of the archives written: one row each, in a table of its own."""
-    later = revisits(pages, least).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to")
-    rows = pages.select("page_id", "url", "html")
-    rows = rows.join(later, rows.page_id.eqNullSafe(later._p) & (F.sha1(F.coalesce(rows.html, F.lit(""))) == later._d), "left").select("page_id", "url", "html", "refers_to")
+    """pages (page_id, url, html) -> file, n_records of the archives written: one row each, in a table of its own.
+
+    The pages are numbered and written once; the rows that repeat a payload are joined back by number, so html is shuffled
+    only where these are too many to broadcast.
+    """
+    html = F.coalesce("html", F.lit(""))
+    numbered = materialize(pages.select("page_id", "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("size")).withColumn("row", F.monotonically_increasing_id()), "pages")
+    later = repeats(numbered.select("row", "page_id", "digest", "size"), least).withColumn("again", F.col("row"))
+    rows = numbered.select("row", "page_id", "url", "html").join(later, "row", "left").select("page_id", "url", "html", "refers_to", "again")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task, archive, n = TaskContext.get().partitionId(), None, 0
         for x in batches:
-            for p, u, h, r in zip(x["page_id"].astype("Int64"), x["url"], x["html"], x["refers_to"].astype("Int64"), strict=True):
-                p, r = (None if v is pd.NA else int(v) for v in (p, r))
+            for p, u, h, r, a in zip(x["page_id"].astype("Int64"), x["url"], x["html"], x["refers_to"].astype("Int64"), x["again"].astype("Int64"), strict=True):
+                p, r, a = (None if v is pd.NA else int(v) for v in (p, r, a))
                 archive = archive or _Archive(out_dir, f"pages-{task:06d}-{n:04d}.zip")
-                archive.add(p, record_bytes(p, u, (h or "").encode(), r))
+                archive.add(p, record_bytes(p, u, (h or "").encode(), r, a))
                 if archive.size >= ARCHIVE:
                     yield archive.close()
                     archive, n = None, n + 1
@@ -169,7 +183,7 @@ def read_archive(fs, path: str) -> Iterator[dict]:
             yield found
 
 
-READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string"
 
 
 def read_warc(spark: SparkSession, out_dir: str, files: DataFrame, payloads: bool = True) -> DataFrame:

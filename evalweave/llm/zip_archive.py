@@ -111,4 +111,7 @@ class StoredZipReader:
         length = size - start if length is None else length
         if start < 0 or start + length > size:
             raise ArchiveError(f"{name} has no such range")
-        return self.read_at(self.data_at(name) + start, length)
+        data = self.read_at(self.data_at(name) + start, length)
+        if length == size and zlib.crc32(data) != self.members[name][2]:
+            raise ArchiveError(f"{name} isn't what was stored: its checksum is wrong")
+        return data
