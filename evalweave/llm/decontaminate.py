@@ -8,8 +8,9 @@ lie in an occurrence, so it ends a segment, and a segment shorter than the short
 left out. All windows of one length are searched backwards together; occurrences are located by sampled suffix positions,
 and overlapping ones merge into removal spans.
 
-The benchmark's windows go to the executors as they are while the texts take up to BOUND bytes; a larger benchmark is taken
-in blocks of items below the bound, each against all documents, and the blocks' findings are joined by row.
+The benchmark never comes to the driver: it is written to the shared folder in blocks of some BOUND words, long items in
+pieces that overlap by a window, and tasks read the blocks' windows from there, one block at a time. One block, the rule, is
+read once by a worker; `find` takes several one after another, each against all documents, and joins their findings by row.
 
 Null text: no words. Null doc_id, repeated rows: each is a row of the result. Null item_id: named as the empty string. Items
 with equal texts or ids: each id counts once. An empty documents table: no rows; an empty benchmark: nothing is hit. Other
@@ -20,19 +21,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize, open_fs, scratch
 from .fm_index import FMIndex
 
 WINDOW = 10
-#: Symbols of a shard, about, and bytes of benchmark text that go out at once.
-SHARD, BOUND = 400_000, 32 << 20
+#: Symbols of a shard, about, words of benchmark text in a block, about, and windows of a piece of an item.
+SHARD, BOUND, PIECE = 400_000, 1_000_000, 10_000
 _TABLE = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 REMOVED = "\n"
@@ -45,17 +47,22 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """Of (item_id, text) rows: the vocabulary, the distinct windows by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, str | None]], size: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str, int] = {}
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + size]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[frozenset[str]]]] = {}
-        for n in sorted({len(k) for k in found}):
-            own = [k for k in found if len(k) == n]
-            self.by_length[n] = np.array(own, np.int64), [frozenset(found[k]) for k in own]
+            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words_of(text)], np.int32)
+            if len(w):
+                own = np.lib.stride_tricks.sliding_window_view(w, min(len(w), size))
+                parts.setdefault(own.shape[1], []).append((own, np.full(len(own), names.setdefault(item, len(names)), np.int32)))
+        self.names = list(names)
+        #: By length: the windows, and of each the numbers of its items as a range of one array.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(parts):
+            windows, which = np.unique(np.concatenate([w for w, _ in parts[n]]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel(), np.concatenate([i for _, i in parts.pop(n)])), 1), axis=0)
+            self.by_length[n] = windows.astype(np.int64), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
         self.shortest = min(self.by_length, default=0)
 
     def hits(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, set[str]]]:
@@ -73,12 +80,12 @@ class Windows:
                     parts += [ids[a:b], np.zeros(1, np.int64)]
                     where.append((d, a, b - a + 1))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
+        items: list[set[int]] = [set() for _ in texts]
         if parts:
             index = FMIndex(np.concatenate(parts))
             doc, offset, length = (np.array(x, np.int64) for x in zip(*where, strict=True))
             begin = np.cumsum(length) - length
-            for n, (patterns, owners) in self.by_length.items():
+            for n, (patterns, owners, of) in self.by_length.items():
                 low, high = index.search(patterns)
                 many = high - low
                 k = np.repeat(np.arange(len(patterns)), many)
@@ -87,8 +94,8 @@ class Windows:
                 start = at - begin[seg] + offset[seg]
                 for d, a, own in zip(doc[seg].tolist(), start.tolist(), k.tolist(), strict=True):
                     spans[d].append((a, a + n))
-                    items[d] |= owners[own]
-        return [(n, merge(s), i) for n, s, i in zip(n_words, spans, items, strict=True)]
+                    items[d].update(owners[of[own] : of[own + 1]].tolist())
+        return [(n, merge(s), {self.names[k] for k in i}) for n, s, i in zip(n_words, spans, items, strict=True)]
 
 
 def merge(spans: list[tuple[int, int]]) -> np.ndarray:
@@ -102,12 +109,37 @@ def merge(spans: list[tuple[int, int]]) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _blocks(benchmark: DataFrame) -> list[Windows]:
-    """The benchmark in blocks below BOUND: one as a rule."""
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items with words, in pieces of at most PIECE windows; no window is cut."""
+    for b in batches:
+        for item, text in zip(b["item"], b["text"], strict=True):
+            w = [x.decode() for x in words_of(text)]
+            for i in range(0, max(1, len(w) - WINDOW + 1) if w else 0, PIECE):
+                own = w[i : i + PIECE + WINDOW - 1]
+                yield pd.DataFrame({"item": [item], "piece": [i // PIECE], "n": [len(own)], "text": [" ".join(own)]})
+
+
+def _blocks(benchmark: DataFrame) -> list[str]:
+    """Folders with the benchmark's pieces, some BOUND words in each: one as a rule, none if it has no words."""
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // BOUND)
-    return [Windows([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]) for k in range(n)]
+    pieces = materialize(rows.mapInPandas(_pieces, "item string, piece long, n long, text string"), "benchmark-pieces")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // BOUND)
+    out = [scratch(spark, "benchmark-block") for _ in range(n)]
+    for k, path in enumerate(out):
+        own = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == k)
+        own.select("item", "text").write.parquet(path)
+    return out
+
+
+@lru_cache(1)
+def _windows(path: str) -> Windows:
+    """Of a block, in a worker."""
+    import pyarrow.dataset as ds
+
+    fs, folder = open_fs(path)
+    rows = (r for b in ds.dataset(folder, filesystem=fs, format="parquet").to_batches() for r in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True))
+    return Windows(rows)
 
 
 def shards(batches: Iterator[pd.DataFrame], symbols: int = SHARD) -> Iterator[pd.DataFrame]:
@@ -127,18 +159,19 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, spans array<struct<start, end>> in words, items array<string>, sorted."""
     rows = docs.select("doc_id", "text")
     schema = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    blocks = _blocks(benchmark) or [Windows([])]
+    blocks = _blocks(benchmark)
 
-    def run(windows: Windows, key: str):
+    def run(path: str | None, key: str):
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            windows = _windows(path) if path else Windows([])
             for x in shards(batches):
                 found = windows.hits(list(x["text"]))
                 yield pd.DataFrame({key: x[key].astype("Int64"), "n_words": [n for n, _, _ in found], "spans": [[{"start": a, "end": b} for a, b in s.tolist()] for _, s, _ in found], "items": [sorted(i) for _, _, i in found]})
 
         return go
 
-    if len(blocks) == 1:
-        return rows.mapInPandas(run(blocks[0], "doc_id"), f"doc_id long, {schema}")
+    if len(blocks) < 2:
+        return rows.mapInPandas(run(blocks[0] if blocks else None, "doc_id"), f"doc_id long, {schema}")
     numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     parts = [numbered.select("row", "text").mapInPandas(run(b, "row"), f"row long, {schema}") for b in blocks]
     out = parts[0]
@@ -165,27 +198,31 @@ def cut(text: str, spans: np.ndarray) -> str:
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, without benchmark passages: spans go until none is left, n_chars (if there) follows."""
+    """The documents, all columns, without benchmark passages: spans go until none is left, n_chars (if there) follows. Only texts go to Python."""
     blocks = _blocks(benchmark)
-    columns, counted = docs.columns, "n_chars" in docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in shards(batches):
+    @F.pandas_udf("string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in shards(b.to_frame("text") for b in batches):
             texts, todo = list(x["text"]), list(range(len(x)))
             while todo:
                 again = []
-                for w in blocks:
-                    for k, (_, s, _) in zip(todo, w.hits([texts[k] for k in todo]), strict=True):
+                for path in blocks:
+                    for k, (_, s, _) in zip(todo, _windows(path).hits([texts[k] for k in todo]), strict=True):
                         if len(s):
                             texts[k] = cut(texts[k], s)
                             again.append(k)
                 todo = sorted(set(again))  # what is left may join to a passage
-            x["text"] = texts
-            if counted:
-                x["n_chars"] = pd.array([old if t is None else len(t) for old, t in zip(x["n_chars"], texts, strict=True)], "Int64")
-            yield x[columns]
-
-    return docs.mapInPandas(run, docs.schema)
+            yield pd.Series(texts, dtype=object)
+
+    (text,) = (c for c in docs.columns if c.lower() == "text")
+    counted = [c for c in docs.columns if c.lower() == "n_chars"]
+    (new,) = free_name(docs, "_clean")
+    out = docs.withColumn(new, clean(F.col(text)))
+    values = {c: F.col(c) for c in docs.columns} | {text: F.col(new)}
+    for c in counted:
+        values[c] = F.when(F.col(new).isNull(), F.col(c)).otherwise(F.length(new).cast(docs.schema[c].dataType))
+    return out.select(*[v.alias(c) for c, v in values.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
