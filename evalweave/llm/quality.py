@@ -2,9 +2,10 @@
 
 Each text gives counts (words, their characters, symbols, repeated lines, words in repeated 3-word windows), and these a
 vector of transformed statistics. For each (lang, source), each lang and the whole corpus the minimum-covariance-
-determinant estimate is found: from medians and quartiles, concentration steps take the H closest rows of the group by
-Mahalanobis distance and re-estimate mean and covariance from them. All rows count in each step: thresholds come from exact
-histograms of distances, sums are pre-aggregated before they are shuffled, so no group, however large, meets in a task.
+determinant estimate is sought: from medians and quartiles, and again from mean and covariance of all rows, concentration
+steps take the H closest rows of the group by Mahalanobis distance and re-estimate mean and covariance from them, until the
+determinant settles; the less of the two determinants decides. All rows count in each step: thresholds come from exact histograms of distances, sums are
+pre-aggregated before they are shuffled, so no group, however large, meets in a task.
 A document is judged by the first of its three groups that has at least LEAST rows and rejected beyond CUTOFF.
 
 Only rows that pass the base rules are fitted. FLOORS, added to the covariances, keep statistics that are the same in most
@@ -12,14 +13,14 @@ documents (no symbols at all, say) from turning small deviations into outliers.
 
 Null text: no words, so base_failed. Null lang or source: a value of its own. Null doc_id, repeated rows: each is a row of
 the result, judged alike. An empty table: no rows. Corpora with under LEAST rows: base rules alone. Other columns of the
-documents pass through `filter_documents` untouched.
+documents, whatever their names, pass through `filter_documents` untouched.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ from .common import materialize
 #: Statistics of the vector and the standard deviation that each has at least.
 FLOORS = {"log_words": 0.5, "word_length": 0.5, "symbol_share": 0.005, "dup_line_share": 0.1, "repeat_share": 0.15, "distinct_share": 0.1}
 P = len(FLOORS)
-#: Share of the rows that estimates rest on, concentration steps, and rows of a group at least.
-H, STEPS, LEAST = 0.75, 3, 60
+#: Share of the rows that estimates rest on, and rows of a group at least.
+H, LEAST = 0.75, 60
+#: Change of the determinant's logarithm below which a group has settled, and steps after which what is found counts.
+SETTLED, STEPS = 1e-2, 20
 #: Squared distance that a normal vector of this size exceeds once in a thousand million.
 CUTOFF = 54.0
 #: Histogram steps: of a statistic in floors, of a distance by factors of two.
@@ -73,31 +76,51 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), len(seen)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) -> doc_id, text_hash, lang, source, counts, base_failed, x array<double>."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c = np.array([counts(t) for t in b["text"]], np.int64).reshape(-1, 7)
+@cache
+def _measure():
+    @F.pandas_udf("struct<" + ",".join(f"{c}:long" for c in COUNTS) + ",base_failed:boolean,x:array<double>>")
+    def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for own in texts:
+            c = np.array([counts(t) for t in own], np.int64).reshape(-1, 7)
             n, chars, symbols, dup, rep, lines, distinct = c.T
             one = np.maximum(n, 1)
             x = np.stack([np.log(one), chars / one, symbols / np.maximum(chars, 1), dup / np.maximum(lines, 1), rep / one, distinct / one], 1)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "lang": b["lang"], "source": b["source"]} | dict(zip(COUNTS, c.T[:5], strict=True)) | {"base_failed": (n < 50) | (100 * rep > 50 * n), "x": list(x)})
+            yield pd.DataFrame(dict(zip(COUNTS, c.T[:5], strict=True)) | {"base_failed": (n < 50) | (100 * rep > 50 * n), "x": list(x)})
+
+    return measure
 
-    schema = "doc_id long, text_hash long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, x array<double>"
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "source", "text").mapInPandas(run, schema)
+
+def measure(text: Column) -> Column:
+    """struct<counts, base_failed, x>; only the text goes to Python."""
+    return _measure()(text)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source) -> doc_id, lang, source, counts, base_failed, x array<double>."""
+    return docs.select("doc_id", "lang", "source", measure(F.col("text")).alias("m")).select("doc_id", "lang", "source", "m.*")
 
 
-def _groups() -> list[Column]:
+def _groups(lang: str = "lang", source: str = "source") -> list[Column]:
     """Names of a row's groups, from the narrowest; null differs from any string."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in (F.col("lang"), F.col("source")))
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in (lang, source))
     return [F.to_json(F.array(lang, source)), F.to_json(F.array(lang)), F.lit("[]")]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x from mean under the inverse covariance inv (a flat array)."""
-    diff = [F.get("x", F.lit(i)) - F.get("mean", F.lit(i)) for i in range(P)]
-    return reduce(lambda a, b: a + b, (diff[i] * diff[j] * F.get("inv", F.lit(i * P + j)) * (1 if i == j else 2) for i in range(P) for j in range(i, P)))
+#: Columns: of a vector, a mean, and the upper triangle of an inverse covariance. Plain doubles, as arrays cost far more here.
+_X, _M = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)]
+_V = [f"v{i}_{j}" for i in range(P) for j in range(i, P)]
+
+
+def _with_distance(df: DataFrame) -> DataFrame:
+    """Adds distance, the squared Mahalanobis distance of a row's vector under its model. Null without a model."""
+    apart = df.select("*", *[(F.col(x) - F.col(m)).alias(f"_{x}") for x, m in zip(_X, _M, strict=True)])
+    terms = (F.col(f"_x{i}") * F.col(f"_x{j}") * F.col(f"v{i}_{j}") * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P))
+    return apart.withColumn("distance", reduce(lambda a, b: a + b, terms)).drop(*[f"_{x}" for x in _X])
+
+
+def _bin() -> Column:
+    """Of a distance; rounding may make it a little less than 0."""
+    return F.floor(F.log2(F.greatest("distance", F.lit(0.0)) + 1) * _PER_OCTAVE)
 
 
 def _chi2_cdf(x: float, df: int) -> float:
@@ -121,68 +144,113 @@ def _at_share(bins: DataFrame, keys: list[str], shares: list[float]) -> DataFram
     return run.groupBy(*keys).agg(F.max("total").alias("total"), *[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * s), F.col("bin"))).alias(f"q{i}") for i, s in enumerate(shares)])
 
 
-def fit(stats: DataFrame) -> DataFrame:
-    """stats (lang, source, base_failed, x) -> grp, total, mean array, inv array: the estimate of each group with LEAST rows."""
+_MODEL = "grp string, start int, total long, " + ", ".join(f"{c} double" for c in (*_M, *_V, "logdet"))
+_SUMS = [f"s{i}" for i in range(P + len(_V))]
+
+
+def _sums() -> list[Column]:
+    products = [F.col(_X[i]) * F.col(_X[j]) for i in range(P) for j in range(i, P)]
+    return [F.sum(c).alias(s) for s, c in zip(_SUMS, [*map(F.col, _X), *products], strict=True)]
+
+
+def _model(grp: pd.Series, start, total: pd.Series, mean: np.ndarray, cov: np.ndarray, logdet) -> pd.DataFrame:
+    inv = np.linalg.inv(cov)
+    upper = inv[:, *np.triu_indices(P)]
+    return pd.DataFrame({"grp": grp, "start": start, "total": total} | dict(zip(_M, mean.T, strict=True)) | dict(zip(_V, upper.T, strict=True)) | {"logdet": logdet})
+
+
+def _estimated(sums: DataFrame, scale: float) -> DataFrame:
+    """sums (grp, start, total, n, sums) -> the model of each: mean and covariance of the n rows, times scale, plus floors."""
     floors = np.array(list(FLOORS.values()))
-    rows = stats.filter("not base_failed").select(F.explode(F.array(*_groups())).alias("grp"), "x")
-    cells = rows.select("grp", F.posexplode("x").alias("k", "v")).select("grp", "k", F.floor(F.col("v") * _PER_FLOOR / F.element_at(F.array(*map(F.lit, floors.tolist())), F.col("k") + 1)).alias("bin"))
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = b[_SUMS].to_numpy() / b[["n"]].to_numpy()
+            mean, cov = s[:, :P], np.zeros((len(s), P, P))
+            cov[:, *np.triu_indices(P)] = s[:, P:]
+            cov = cov + np.triu(cov, 1).transpose(0, 2, 1) - mean[:, :, None] * mean[:, None, :]
+            cov = cov * scale + np.diag(floors**2)
+            yield _model(b["grp"], b["start"], b["total"], mean, cov, np.linalg.slogdet(cov)[1])
+
+    return sums.mapInPandas(estimate, _MODEL)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """What each group's concentration starts from. rows (grp, vector)."""
+    floors = np.array(list(FLOORS.values()))
+    cells = rows.select("grp", F.posexplode(F.array(*[F.floor(F.col(x) * _PER_FLOOR / float(f)) for x, f in zip(_X, floors, strict=True)])).alias("k", "bin"))
     quarters = _at_share(cells.groupBy("grp", "k", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "k"], [0.25, 0.5, 0.75])
     packed = quarters.filter(F.col("total") >= LEAST).groupBy("grp").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("k", "q0", "q1", "q2"))).alias("q"))
+    packed = materialize(packed, "mcd-quartiles")
 
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def quartiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            mean, inv = [], []
-            for q in b["q"]:
-                v = np.array([[z["q0"], z["q1"], z["q2"]] for z in q], float)
-                mean.append((v[:, 1] + 0.5) * floors / _PER_FLOOR)
-                spread = (v[:, 2] - v[:, 0]) * floors / _PER_FLOOR / 1.349
-                inv.append(np.diag(1 / (spread**2 + floors**2)).ravel())
-            yield pd.DataFrame({"grp": b["grp"], "total": b["total"], "mean": mean, "inv": inv})
-
-    schema = "grp string, total long, mean array<double>, inv array<double>"
-    now = materialize(packed.mapInPandas(start, schema), "mcd-start")
-    scale = consistency()
+            v = np.array([[[z["q0"], z["q1"], z["q2"]] for z in q] for q in b["q"]], float).reshape(-1, P, 3)
+            mean, spread = (v[:, :, 1] + 0.5) * floors / _PER_FLOOR, (v[:, :, 2] - v[:, :, 0]) * floors / _PER_FLOOR / 1.349
+            yield _model(b["grp"], 0, b["total"], mean, (spread**2 + floors**2)[:, :, None] * np.eye(P), math.inf)
+
+    sums = rows.join(packed.select("grp", "total"), "grp").groupBy("grp").agg(F.lit(1).alias("start"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *_sums())
+    return packed.mapInPandas(quartiles, _MODEL).union(_estimated(sums, 1.0).withColumn("logdet", F.lit(math.inf)))
 
-    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            mean, inv = [], []
-            for n, s in zip(b["n"], b["s"], strict=True):
-                s = np.asarray(s) / n
-                m, c = s[:P], np.zeros((P, P))
-                c[np.triu_indices(P)] = s[P:]
-                c = c + np.triu(c, 1).T - np.outer(m, m)
-                mean.append(m)
-                inv.append(np.linalg.inv(c * scale + np.diag(floors**2)).ravel())
-            yield pd.DataFrame({"grp": b["grp"], "total": b["total"], "mean": mean, "inv": inv})
 
+def fit(stats: DataFrame) -> DataFrame:
+    """stats (lang, source, base_failed, x) -> grp, total, mean (m0, ...) and inverse covariance (v0_0, ...) of each group with LEAST rows."""
+    vector = [F.get("x", F.lit(i)).alias(x) for i, x in enumerate(_X)]
+    passed = materialize(stats.filter("not base_failed").select(F.array(*_groups()).alias("groups"), *vector), "mcd-rows")
+    rows = passed.select(F.explode("groups").alias("grp"), *_X)
+    now, done, scale = materialize(_starts(rows), "mcd-start"), [], consistency()
     for _ in range(STEPS):
-        near = rows.join(now, "grp").select("grp", "total", "x", F.floor(F.log2(_distance() + 1) * _PER_OCTAVE).alias("bin"))
-        limit = materialize(_at_share(near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp"], [H]).select("grp", "q0").join(now, "grp"), "mcd-limit")
-        closest = rows.join(limit, "grp").filter(F.floor(F.log2(_distance() + 1) * _PER_OCTAVE) <= F.col("q0"))
-        x = [F.get("x", F.lit(i)) for i in range(P)]
-        sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P)]
-        now = materialize(closest.groupBy("grp").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s")).mapInPandas(estimate, schema), "mcd-step")
-    return now
+        near = _with_distance(rows.join(now, "grp")).select("grp", "start", _bin().alias("bin"))
+        limit = materialize(_at_share(near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], [H]).select("grp", "start", "q0").join(now, ["grp", "start"]), "mcd-limit")
+        closest = _with_distance(rows.join(limit, "grp")).filter(_bin() <= F.col("q0"))
+        sums = closest.groupBy("grp", "start").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *_sums())
+        was = now.select("grp", "start", F.col("logdet").alias("was"))
+        step = materialize(_estimated(sums, scale).join(was, ["grp", "start"]), "mcd-step")
+        settled = F.abs(F.col("was") - F.col("logdet")) <= SETTLED
+        done.append(step.filter(settled).drop("was"))
+        now = step.filter(~settled).drop("was")
+        if not now.limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, [*done, now])
+    # as many rows of a group as starts
+    best = found.groupBy("grp").agg(F.min_by(F.struct("total", *_M, *_V), F.struct(F.round("logdet", 9), "start")).alias("m"))
+    return materialize(best.select("grp", "m.*"), "mcd")
+
+
+def _judged(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """measured (lang, source, m: what measure gives, ...) -> the same with distance (null: no group) and kept.
+
+    The model that judges is looked up by (lang, source) in a table with a row for each that occurs: Spark broadcasts it
+    where it is small.
+    """
+    names = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "m.base_failed", "m.x")
+    model, columns = fit(names), measured.columns
+    narrow, wide, _ = _groups()
+    groups = names.groupBy("lang", "source").agg(F.lit(1).alias("one")).select(narrow.alias("k0"), wide.alias("k1"))
+    for k in (0, 1):
+        groups = groups.join(model.select(F.col("grp").alias(f"k{k}"), F.struct(*_M, *_V).alias(f"g{k}")), f"k{k}", "left")
+    whole = model.filter("grp = '[]'").first()
+    last = [] if whole is None else [F.struct(*[F.lit(whole[c]).alias(c) for c in (*_M, *_V)])]
+    chosen = materialize(groups.select(F.col("k0").alias("_k"), F.coalesce("g0", "g1", *last).alias("g")).select("_k", "g.*"), "mcd-by-group")
+    vector = [F.get("m.x", F.lit(i)).alias(x) for i, x in enumerate(_X)]
+    out = _with_distance(measured.select("*", *vector, _groups(lang, source)[0].alias("_k")).join(chosen, "_k", "left"))
+    return out.select(*columns, "distance", (~F.col("m.base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) -> doc_id, text_hash, counts, base_failed, distance (null: no group), kept."""
-    stats = materialize(statistics(docs), "statistics")
-    model = fit(stats)
-    out, found = stats, []
-    for i, g in enumerate(_groups()):
-        own = model.select(F.col("grp").alias(f"g{i}"), F.struct("mean", "inv").alias(f"m{i}"))
-        out = out.withColumn(f"k{i}", g)
-        out = out.join(own, F.col(f"k{i}") == F.col(f"g{i}"), "left")
-        found.append(F.col(f"m{i}"))
-    out = out.withColumn("m", F.coalesce(*found)).select("*", "m.mean", "m.inv").withColumn("distance", _distance())
-    return out.select("doc_id", "text_hash", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    """docs (doc_id, text, lang, source) -> doc_id, lang, source, counts, base_failed, x, distance (null: no group), kept."""
+    measured = materialize(docs.select("doc_id", "lang", "source", measure(F.col("text")).alias("m")), "statistics")
+    return _judged(measured).select("doc_id", "lang", "source", "m.*", "distance", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, all columns."""
-    kept = judge(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._d) & (F.xxhash64(docs.text) == kept._h), "left_semi")
+    """The documents that are kept, all columns. They are written once with their statistics, and never shuffled."""
+    # columns are numbered meanwhile, so that no name clashes with those of the method
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, own, strict=True)}
+    measured = docs.toDF(*own).withColumn("m", measure(F.col(at["text"])))
+    kept = _judged(materialize(measured, "measured"), at["lang"], at["source"]).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(own, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ Without a column for the repository the owner stands for it: then MOST_REPOS dec
 pipeline, whose documents have a source only.
 
 Null text: empty. Null source: an owner of its own. Null doc_id, repeated rows: each is a row of the result. An empty
-table: no rows. Other columns of the documents pass through `redact` untouched.
+table: no rows. Other columns of the documents, whatever their names, pass through `redact` untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, text_of
+from .common import materialize, text_of
 
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -67,27 +67,40 @@ def widely_copied(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")).filter((F.col("owners") > MOST_OWNERS) | (F.col("repos") > MOST_REPOS)).select("hash")
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str | None = None) -> DataFrame:
-    """docs (doc_id, text, owner) -> doc_id, text_hash, spans array<struct<start, kind, end, hash, live>>: what stays."""
+def _found(docs: DataFrame, text: str, owner: str, repo: str | None, keep: list[str]) -> DataFrame:
+    """The columns to keep with spans (all candidates), owner and repo, and a number for each row, as a table of its own."""
     own = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    text = text_of("text")
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), own(owner).alias("owner"), own(repo or owner).alias("repo"), candidates(text).alias("spans"))
-    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+    found = docs.select(*keep, own(owner).alias("owner"), own(repo or owner).alias("repo"), candidates(text_of(text)).alias("spans"))
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """found with spans array<struct<start, kind, end, hash, live>>: what stays. Only rows with a widely copied value are joined."""
     wide = materialize(widely_copied(found), "widely-copied")
     held = found.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     copied = materialize(held.join(wide, "hash").groupBy("row").agg(F.collect_list("hash").alias("copied")), "copied")
     out = found.join(copied, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<long>")))
     judged = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["hash"].alias("hash"), (~F.array_contains("copied", s["hash"])).alias("live")))
-    return out.select("doc_id", "text_hash", F.filter(judged, lambda s: (s["kind"] < 3) | s["live"]).alias("spans"))
+    return out.withColumn("spans", F.filter(judged, lambda s: (s["kind"] < 3) | s["live"])).drop("copied")
+
+
+def scan(docs: DataFrame, owner: str = "source", repo: str | None = None) -> DataFrame:
+    """docs (doc_id, text, owner) -> doc_id, spans array<struct<start, kind, end, hash, live>>: what stays."""
+    columns = [F.col("doc_id"), F.col("text"), F.col(owner).alias("_owner"), *([F.col(repo).alias("_repo")] if repo else [])]
+    return _judged(_found(docs.select(*columns), "text", "_owner", "_repo" if repo else None, ["doc_id"])).select("doc_id", "spans")
 
 
 def redact(docs: DataFrame, owner: str = "source", repo: str | None = None) -> DataFrame:
-    """The documents, all columns, in which [SECRET] or, for a widely copied value, [EXAMPLE] stands for each span; n_chars follows."""
-    spans = materialize(scan(docs, owner, repo).filter(F.size("spans") > 0).distinct(), "secret-spans")
-    d, h, s, cut = free_name(docs, "_d", "_h", "_s", "_cut")
-    # of rows with one id and text the spans are the same but for verdicts by owner: a live one counts
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.max("spans").alias(s)).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), s)
-    joined = docs.join(spans, docs.doc_id.eqNullSafe(F.col(d)) & (F.xxhash64(docs.text) == F.col(h)), "left")
+    """The documents, all columns, in which [SECRET] or, for a widely copied value, [EXAMPLE] stands for each span; n_chars follows.
+
+    The documents are written once with their candidates; texts are shuffled only where the rows that hold a widely copied
+    value are too many to broadcast.
+    """
+    # columns are numbered meanwhile, so that no name clashes with those of the method
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
+    text = at["text"]
+    joined = _judged(_found(docs.toDF(*names), text, at[owner.lower()], repo and at[repo.lower()], names))
 
     def merge(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -95,14 +108,19 @@ def redact(docs: DataFrame, owner: str = "source", repo: str | None = None) -> D
         one = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["live"].alias("live"))
         return F.when((F.size(acc) > 0) & (x["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined_))).otherwise(F.concat(acc, F.array(one)))
 
-    merged = F.aggregate(s, F.array().cast("array<struct<start:long,end:long,live:boolean>>"), merge)
-    piece = lambda x, i: F.concat(F.substring("text", F.coalesce(F.get(F.col(cut), i - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(F.col(cut), i - 1)["end"], F.lit(0))).cast("int")), F.when(x["live"], "[SECRET]").otherwise("[EXAMPLE]"))
-    tail = F.substring("text", F.element_at(F.col(cut), -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(F.col(s).isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), tail))
-    out = joined.withColumn(cut, merged).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    merged = F.aggregate("spans", F.array().cast("array<struct<start:long,end:long,live:boolean>>"), merge)
+    before = lambda i: F.coalesce(F.get(F.col("cut"), i - 1)["end"], F.lit(0))
+    piece = lambda x, i: F.concat(F.substring(text, before(i).cast("int") + 1, (x["start"] - before(i)).cast("int")), F.when(x["live"], "[SECRET]").otherwise("[EXAMPLE]"))
+    tail = F.substring(text, F.element_at(F.col("cut"), -1)["end"].cast("int") + 1, F.length(text))
+    none = F.size("spans") == 0
+    out = joined.withColumn("cut", merged).withColumn("new", F.when(none, F.col(text)).otherwise(F.concat(F.array_join(F.transform("cut", piece), ""), tail)))
+    values = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    for c in docs.columns:
+        if c.lower() == "text":
+            values[c] = F.col("new")
+        elif c.lower() == "n_chars":
+            values[c] = F.when(none, values[c]).otherwise(F.length("new").cast(docs.schema[c].dataType))
+    return out.select(*[v.alias(c) for c, v in values.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ leads to blocks that are compared pair by pair, and only each fingerprint's root
 Shards that share a fingerprint link their roots; components of that small graph join the shards.
 
 Null text: no words. Null doc_id: kept, and never the smallest of a component unless all are null (then component_id is
-null). Repeated rows: each is a row of the result. An empty table: no rows. Other columns are not read.
+null). Repeated rows: each is a row of the result. An empty table: no rows. Other columns are not read, but pass through
+`deduplicate` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -51,14 +53,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text_hash (XXH64 of the text, to find a row again), fp long."""
+@cache
+def _printed():
+    @F.pandas_udf("long")
+    def printed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for own in texts:
+            yield pd.Series(np.array([fingerprint(t) for t in own], np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "text_hash": x["text_hash"], "fp": np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64)})
+    return printed
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, fp long")
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp long; only the text goes to Python."""
+    return docs.select("doc_id", _printed()(F.col("text")).alias("fp"))
 
 
 def build_tree(sample: np.ndarray, leaves: int) -> list:
@@ -165,16 +172,21 @@ def link(prints: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, reach: int = 2) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: that with the smallest doc_id.
+    """The documents, all columns, of which one of each group stays: that with the smallest doc_id, else (nulls) any one.
 
-    Of several rows with this doc_id one stays, of a group without any doc_id one too.
+    Of several rows with this doc_id one stays too. The documents are written once, numbered and with their fingerprints, and
+    the numbers of those that go are joined back: texts are shuffled only where these are too many to broadcast.
     """
-    found = materialize(link(materialize(fingerprints(docs), "prints"), reach), "linked")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("joined", "doc_id").agg(F.min("text_hash").alias("h"))
-    stay = materialize(stay.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "staying")
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay._d) & (F.xxhash64(docs.text) == stay._h), "left_semi")
-    repeats = found.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h") if repeats else kept
+    # columns are numbered meanwhile, so that no name clashes with those of the method
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, own, strict=True)}
+    printed = docs.toDF(*own).withColumn("fp", _printed()(F.col(at["text"]))).withColumn("row", F.monotonically_increasing_id())
+    printed = materialize(printed, "printed")
+    found = link(printed.select(F.col(at["doc_id"]).alias("doc_id"), "fp", "row"), reach)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stay = materialize(found.groupBy("joined").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("joined", F.col("s.row").alias("stays")), "staying")
+    go = materialize(found.select("joined", "row").join(stay, "joined").filter("row <> stays").select("row"), "going")
+    return printed.join(go, "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(own, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
