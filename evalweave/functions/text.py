@@ -26,18 +26,34 @@ def narrow(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, wide, "".join(chr(x) for x in range(0x21, 0x7F)) + " "), r"\s+", " "))
 
 
+# What a unit behind a number multiplies it by.
+FACTORS = {"khz": 1e3, "kilo": 1e3, "k": 1e3, "mhz": 1e6, "ms": 1e-3, "m": 1e-3, "ghz": 1e9, "g": 1e9}
+# End of fixed values.
+
+
 def number_with_unit(c: Column) -> Column:
-    """A number in front and a unit's factor: null if there is no number."""
-    number = F.regexp_extract(c, r"^\s*([-+]?\d+(?:\.\d+)?)", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(c, r"^\s*[-+]?\d+(?:\.\d+)?\s*([A-Za-z]*)", 1))
-    factor = F.when(unit.startswith("ms") | (unit == "m"), 1e-3).when(unit.startswith("mhz"), 1e6).when(unit.startswith("g"), 1e9).when(unit.startswith("k"), 1e3).otherwise(1.0)
-    return number * factor
+    """A number in front, times the factor of the unit that the rest begins with, the longest such; null if there is no number.
+
+    Case and spaces don't count. A unit that isn't known has the factor 1.
+    """
+    plain = F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit(""))
+    number = F.regexp_extract(plain, r"^([+-]?\d+\.?\d*(?:e[+-]?\d+)?)", 1)
+    rest = F.substr(plain, F.length(number) + 1)
+    factor = F.lit(1.0)
+    for unit in sorted(FACTORS, key=len):
+        factor = F.when(rest.startswith(unit), F.lit(FACTORS[unit])).otherwise(factor)
+    return F.when(number != "", number.try_cast("double") * factor)
 
 
 def delimited_field(c: Column, name: str) -> Column:
-    """What follows [name] and a colon or equals sign, without marks at its end; empty if there is none."""
-    value = F.regexp_extract(c, rf"\[?{re.escape(name)}\]?\s*[:=：]?\s*([^\s;]+)", 1)
-    return F.regexp_replace(value, "[.,;。，；]+$", "")
+    """The value of a field, in either case of its name: what follows the name in full-width brackets, with a colon, an equals
+    sign or nothing between, up to the line's end or the next bracket; else what follows the name and a colon or equals sign, up
+    to the line's end. Marks and white space at its end go; null if there is no such field.
+    """
+    word = re.escape(name)
+    bracketed, bare = (rf"(?i)【{word}】\s*[:：=]?\s*([^\n]+?)(?:\n|【|$)", rf"(?i){word}\s*[:：=]\s*([^\n]+?)(?:\n|$)")
+    value = F.when(F.regexp_like(c, F.lit(bracketed)), F.regexp_extract(c, bracketed, 1)).when(F.regexp_like(c, F.lit(bare)), F.regexp_extract(c, bare, 1))
+    return F.regexp_replace(F.trim(value), r"[，。,.\s]+$", "")
 
 
 def longest_terms(terms: list[str]):

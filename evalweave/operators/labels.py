@@ -236,3 +236,21 @@ def merged(preferred: Column, fallback: Column, fields: list[str]) -> Column:
 def conflicts(of: Column, fields: list[str]) -> Column:
     """Names of merged() fields that conflict, in order."""
     return F.array_compact(F.array(*[F.when(of[f.replace(".", "_")]["conflict"], f) for f in fields]))
+
+
+def saved_gain(meta: Column, output: str, keys: tuple[str, str] = ("tl_db", "estimated_transmission_loss_db")) -> Column:
+    """The first of the gains that is a number."""
+    return F.coalesce(*[number(field(meta, f"{output}.{k}")) for k in keys])
+
+
+def audit_finding(state: Column, kind: Column, gain: Column, wav_missing: Column, report_unverifiable: bool = False) -> Column:
+    """What an audit reports of a record by its evidence state (zero, invalid, nonzero, missing); null if nothing.
+
+    Zero arrivals are definite, an invalid count is reported; without counts a ship whose gain is exactly 0 is reviewed. A
+    missing recording is reported where nothing else is.
+    """
+    zero_gain = F.coalesce(F.abs(gain) <= 1e-8, F.lit(False))
+    out = F.when(state == "zero", "definite").when(state == "invalid", "invalid").when((state == "missing") & (kind == "ship") & zero_gain, "review")
+    if report_unverifiable:
+        out = out.when(state == "missing", "unverifiable")
+    return out.when(wav_missing, "missing recording")

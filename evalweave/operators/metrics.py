@@ -53,13 +53,41 @@ def cascade_funnel(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(one).alias("n_l1"), F.count_if(one & two).alias("n_l1_l2"), F.count_if(one & two & three).alias("n_l3"))
 
 
-def outcome_state() -> Column:
-    """Of (ok1, ok2, ok3, valid): exclusive and exhaustive."""
-    return F.when(~F.col("valid"), "invalid_format").when(~F.col("ok1"), "l1_error").when(~F.col("ok2"), "l2_error").when(~F.col("ok3"), "l3_error").otherwise("correct")
-
-
-def outcomes(df: DataFrame) -> DataFrame:
-    return df.groupBy(outcome_state().alias("state")).agg(F.count(F.lit(1)).alias("n"))
+# The states of an answer to two questions, in the order in which they are shown.
+STRICT_STATES = ["T1 invalid", "T1 wrong", "T2 invalid", "T2 leaf wrong", "Leaf correct"]
+LEGACY_STATES = ["T1 wrong / unresolved", "T2 leaf wrong / unresolved", "Leaf correct"]
+# End of fixed values.
+_INVALID = "invalid_format"
+
+
+def outcome_state(strict: bool = True) -> Column:
+    """Of a canonical answer (l3, leaf, skipped, t1_status, t2_status): one of the states; null where what decides is null.
+
+    Strict states tell answers that could not be read from wrong ones by their parse status; the legacy ones can't.
+    """
+    right = F.when(F.col("leaf") == F.col("l3"), "Leaf correct")
+    if not strict:
+        return F.when(F.col("skipped").isNull() | F.col("leaf").isNull() | F.col("l3").isNull(), None).when(F.col("skipped"), LEGACY_STATES[0]).otherwise(F.coalesce(right, F.lit(LEGACY_STATES[1])))
+    gate = F.when(F.col("t1_status") == _INVALID, STRICT_STATES[0]).otherwise(STRICT_STATES[1])
+    leaf = F.when(F.col("t2_status").isNull() | F.col("leaf").isNull() | F.col("l3").isNull(), None).when(F.col("t2_status") == _INVALID, STRICT_STATES[2]).otherwise(F.coalesce(right, F.lit(STRICT_STATES[3])))
+    return F.when(F.col("t1_status").isNull() | F.col("skipped").isNull(), None).when(F.col("skipped") | (F.col("t1_status") == _INVALID), gate).otherwise(leaf)
+
+
+def outcomes(df: DataFrame, strict: bool = True) -> DataFrame:
+    """state, n, share: all states in order of the answers, those without rows included; a null state counts answers that have none."""
+    own = df.groupBy(outcome_state(strict).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.createDataFrame([(s,) for s in (STRICT_STATES if strict else LEGACY_STATES)], "state string")
+    x = grid.join(own, "state", "left").unionByName(own.filter("state is null")).select("state", F.coalesce("n", F.lit(0)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return x.crossJoin(total).select("state", "n", F.round(ratio(F.col("n"), F.col("total")), 6).alias("share"))
+
+
+def vote_summary(df: DataFrame, key: str, label: str, unknown: str = "unknown") -> DataFrame:
+    """One row: keys, the mean over them of their most frequent label's share, and the share of votes that are not unknown."""
+    votes = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    known = F.sum(F.when(F.col(label) != unknown, F.col("n")).otherwise(0))
+    each = votes.groupBy(key).agg((F.max("n") / F.sum("n")).alias("a"), F.sum("n").alias("n"), known.alias("k"))
+    return each.agg(F.count(F.lit(1)).alias("keys"), F.round(F.coalesce(F.avg("a"), F.lit(0.0)), 6).alias("agreement"), F.round(ratio(F.sum("k"), F.sum("n")), 6).alias("parse_rate"))
 
 
 def vote_agreement(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -54,3 +54,15 @@ def running_share(n: Column, group: list[str], order: list[str]) -> dict[str, Co
     w = Window.partitionBy(*group)
     total = F.sum(n).over(w)
     return {"start": (F.sum(n).over(w.orderBy(*order)) - n) / total, "share": n / total}
+
+
+def shared_range(df: DataFrame, values: str) -> DataFrame:
+    """high, low over all elements of all rows' arrays: the reference that several pictures share."""
+    return df.agg(F.max(F.array_max(F.transform(values, lambda v: v.cast("double")))).alias("high"), F.min(F.array_min(F.transform(values, lambda v: v.cast("double")))).alias("low"))
+
+
+def draw_audit(df: DataFrame, drawn: str) -> DataFrame:
+    """drawn, n, share, all_same: how often each was drawn, and whether only one ever was."""
+    c = df.groupBy(drawn).agg(F.count(F.lit(1)).alias("n"))
+    whole = c.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_kinds"))  # one row
+    return c.crossJoin(whole).select(drawn, "n", F.round(F.col("n") / F.col("_total"), 6).alias("share"), (F.col("_kinds") == 1).alias("all_same"))

@@ -122,3 +122,90 @@ def resolved_audio(records: DataFrame, files: DataFrame, key: str = "id", path:
     fault = F.when(F.coalesce(F.trim("_declared"), F.lit("")) == "", "no path").when(outside, "outside the root").when(F.col("_there"), None).when(F.col("_n").isNull(), "no file").when(F.col("_n") > 1, "several files")
     r = r.withColumn("audio_fault", fault).withColumn("audio", F.when(F.col("audio_fault").isNull(), F.when(F.col("_there"), F.col("_declared")).otherwise(F.col("_only"))))
     return r.drop("_declared", "_there", "_stem", "_n", "_only")
+
+
+def source_faults(records: DataFrame, source: str, channel: str, fields: list[str]) -> DataFrame:
+    """source, fault: sources whose channels differ in a field (null equals null), or have a null, negative or repeated channel.
+
+    One pass: a source's channels are reduced to counts of distinct values.
+    """
+    own = records.groupBy(source).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(channel).alias("_channels"), F.min(channel).alias("_least"), F.count(channel).alias("_named"),
+        *[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"_v_{c}") for c in fields],
+    )
+    channels = (F.col("_named") == F.col("_n")) & (F.col("_channels") == F.col("_n")) & (F.col("_least") >= 0)
+    differ = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_v_{c}") > 1, c) for c in fields])), ",")
+    name = F.col(source).cast("string").rlike(r"^[A-Za-z0-9_-]+$")
+    return own.select(source, first_fault(("name", name), ("channels", channels), ("agreement", differ == "")).alias("fault"), differ.alias("differ")).filter("fault is not null")
+
+
+def received_faults(received: DataFrame, sources: DataFrame, headers: DataFrame, lengths: list[str], references: list[str]) -> DataFrame:
+    """id, fault of received records (id, source_id, l3, params, rate, frames, lengths..., reference, delay) against their source
+    (source_id, l3, params, file) and the header of its file (source_id, rate, frames, channels).
+
+    lengths are columns that must be positive numbers; reference is one of references; delay isn't negative.
+    """
+    s = sources.select("source_id", F.col("l3").alias("_l3"), F.col("params").alias("_params"), F.col("file").alias("_file"))
+    h = headers.select("source_id", F.col("rate").alias("_rate"), F.col("frames").alias("_frames"), F.col("channels").alias("_channels"))
+    j = received.join(s, "source_id", "left").join(h, "source_id", "left")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.col(c).cast("double") < float("inf"))
+    fault = first_fault(
+        ("no source", F.col("_file").isNotNull()),
+        ("source file", F.regexp_extract(F.translate("_file", "\\", "/"), r"([^/]*)$", 1) == F.concat("source_id", F.lit(".wav"))),
+        ("class", F.col("l3") == F.col("_l3")),
+        ("parameters", F.col("params").eqNullSafe(F.col("_params"))),
+        ("header", (F.col("_channels") == 1) & (F.col("rate") == F.col("_rate")) & (F.col("frames") == F.col("_frames"))),
+        ("geometry", reduce(lambda a, b: a & b, [finite(c) & (F.col(c) > 0) for c in lengths])),
+        ("time reference", F.col("reference").isin(*references)),
+        ("delay", finite("delay") & (F.col("delay") >= 0)),
+    )
+    return j.select("id", fault.alias("fault")).filter("fault is not null")
+
+
+def first_audio(records: DataFrame, files: DataFrame, key: str = "id", label: str = "l3") -> DataFrame:
+    """records with audio, the file label/key.wav or else the first by path of the files named key.wav, and n_audio, how many of
+    that name there are (0 to many: an ambiguity is allowed, and seen).
+    """
+    f = files.select(F.col("path").alias("_path"), F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("_stem")).filter("_stem <> ''")
+    by_name = f.groupBy("_stem").agg(F.min("_path").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    direct = F.concat_ws("/", F.col(label), F.concat(F.col(key), F.lit(".wav")))
+    r = records.withColumn("_direct", direct).join(f.select(F.col("_path").alias("_direct"), F.lit(True).alias("_there")).distinct(), "_direct", "left")
+    r = r.join(by_name, F.col(key) == F.col("_stem"), "left")
+    return r.withColumn("audio", F.when(F.col("_there"), F.col("_direct")).otherwise(F.col("_first"))).withColumn("n_audio", F.coalesce("_n", F.lit(0))).drop("_direct", "_there", "_stem", "_first", "_n")
+
+
+def optional_path(path: Column, root: str) -> Column:
+    """A path as it is if it is absolute, else below the root; null for none."""
+    own = F.translate(F.trim(path), "\\", "/")
+    return F.when(own.rlike("^(/|[A-Za-z]:/)"), own).when(F.coalesce(own, F.lit("")) != "", F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(own, r"^(\./)+", "")))
+
+
+def header_registration(manifest: DataFrame, index: DataFrame, labels: list[str]) -> DataFrame:
+    """id, fault: records of the manifest that the header index lacks, or whose labels differ there; and ids that it has twice."""
+    i = index.select("id", *[F.col(c).alias(f"_i_{c}") for c in labels], F.lit(True).alias("_there"))
+    j = manifest.join(i, "id", "left")
+    fault = first_fault(("no header", F.col("_there")), *[(f"label {c}", F.col(c).eqNullSafe(F.col(f"_i_{c}"))) for c in labels])
+    return j.select("id", fault.alias("fault")).filter("fault is not null").unionByName(repeated(index, "id").select("id", F.lit("repeated").alias("fault")))
+
+
+def header_sidecar(manifest: DataFrame, index: DataFrame, sources: DataFrame, how: str) -> DataFrame:
+    """One row that binds a header index to what it was made from: digests and counts of the manifest, the index and the
+    sources' signatures (path, bytes, modified). Digests don't depend on the order of rows.
+    """
+    digest = lambda df, name: df.agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.sha2(F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string"), 256).alias(f"{name}_digest"))
+    one = digest(manifest, "manifest").crossJoin(digest(index, "index")).crossJoin(digest(sources, "sources"))  # one row each
+    return one.withColumn("verification", F.lit(how)).withColumn("schema_version", F.lit(1))
+
+
+def sidecar_faults(saved: DataFrame, manifest: DataFrame, index: DataFrame, sources: DataFrame) -> DataFrame:
+    """fault: what a saved sidecar has that isn't so any more; 'no sidecar' without one."""
+    now = header_sidecar(manifest, index, sources, "now")
+    j = now.select(*[F.col(c).alias(f"_{c}") for c in now.columns]).join(saved.limit(2), F.lit(True), "left")
+    names = [c for c in now.columns if c != "verification"]
+    faults = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c) for c in names]))
+    return j.select(F.explode(F.when(F.col("schema_version").isNull(), F.array(F.lit("no sidecar"))).otherwise(faults)).alias("fault"))
+
+
+def missing_classes(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
+    """Those of the classes that no row has."""
+    return df.sparkSession.createDataFrame([(c,) for c in classes], f"{column} string").join(df.select(column).distinct(), column, "left_anti")

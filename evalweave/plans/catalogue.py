@@ -37,10 +37,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, user_id, value, props, truth, pred, pred_b, ok1 to ok3, valid."""
+    """event_id, user_id, value, props, truth, pred, pred_b, ok1 to ok3, valid; and as a canonical answer l3, leaf, skipped, t1_status, t2_status."""
     e = read(spark, sf_dir, "events").withColumns({"pred": F.expr(PRED_A), "pred_b": F.expr(PRED_B)}).withColumnRenamed("event_type", "truth")
     family = lambda c: F.expr(_L1.format(c, c))
-    return e.withColumns({"ok1": family("truth") == family("pred"), "ok2": (F.col("truth") == F.col("pred")) | (F.col("event_id") % 5 == 0), "ok3": F.col("truth") == F.col("pred"), "valid": F.col("event_id") % 11 != 0})
+    return e.withColumns({"ok1": family("truth") == family("pred"), "ok2": (F.col("truth") == F.col("pred")) | (F.col("event_id") % 5 == 0), "ok3": F.col("truth") == F.col("pred"), "valid": F.col("event_id") % 11 != 0}).withColumns(
+        {
+            "l3": F.col("truth"),
+            "skipped": ~F.col("valid") | ~F.col("ok1"),
+            "leaf": F.when(F.col("valid") & F.col("ok1"), F.col("pred")).otherwise("cascade_error"),
+            "t1_status": F.when(F.col("valid"), "valid_option").otherwise("invalid_format"),
+            "t2_status": F.when(F.col("valid") & F.col("ok1"), F.when(F.col("pred") == "unknown", "invalid_format").otherwise("valid_option")),
+        }
+    )
 
 
 def query(sql: str | None = None):
@@ -97,11 +105,6 @@ def cascade_funnel(spark, d):
     return metrics.cascade_funnel(predictions(spark, d))
 
 
-@query(f"SELECT CASE WHEN NOT valid THEN 'invalid_format' WHEN NOT ok1 THEN 'l1_error' WHEN NOT ok2 THEN 'l2_error' WHEN NOT ok3 THEN 'l3_error' ELSE 'correct' END AS state, count(*) AS n FROM ({_LEVELS}) GROUP BY 1")
-def outcome_decomposition(spark, d):
-    return metrics.outcomes(predictions(spark, d))
-
-
 @query(f"SELECT CASE WHEN NOT valid THEN 0 WHEN pred = 'unknown' THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS tier, count(*) AS n FROM ({_LEVELS}) GROUP BY 1")
 def parse_tier_hist(spark, d):
     # an invalid event stands for one that was not asked; every third prompt spells its options with marks between
@@ -308,9 +311,9 @@ def fullwidth_normalise(spark, d):
     return read(spark, d, "documents").select("doc_id", text.narrow(wide).alias("narrow"))
 
 
-@query("SELECT p_partkey, p_size * CASE p_partkey % 5 WHEN 0 THEN 0.001 WHEN 1 THEN 1000.0 WHEN 2 THEN 1000000.0 WHEN 3 THEN 1000000000.0 ELSE 1.0 END AS v FROM part")
+@query("SELECT p_partkey, p_size * CASE p_partkey % 6 WHEN 0 THEN 0.001 WHEN 1 THEN 1000.0 WHEN 2 THEN 1000000.0 WHEN 3 THEN 1000000000.0 WHEN 4 THEN 0.001 ELSE 1.0 END AS v FROM part")
 def unit_parse(spark, d):
-    unit = F.element_at(F.array(*map(F.lit, ["ms", " kHz", "MHz", "ghz", ""])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    unit = F.element_at(F.array(*map(F.lit, ["ms", " k Hz", "MHz", "ghz", " metres", "节"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     return read(spark, d, "part").select("p_partkey", text.number_with_unit(F.concat(F.col("p_size").cast("string"), unit)).alias("v"))
 
 
@@ -331,10 +334,14 @@ def centroid(spark, d):
     return e.select("vec_id", F.round(arrays.centroid(F.sequence(F.lit(0), F.size("p") - 1), F.col("p")), 6).alias("centroid"))
 
 
-@query("SELECT r_name, count(*) AS nations, count(*) FILTER (n_regionkey <> r_regionkey) AS broken FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT r_name, count(*) AS nations, count(*) FILTER (n_regionkey <> (n_nationkey * 7 + 1) % 5) AS broken FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def join_taxonomy(spark, d):
-    j = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"), F.count_if(F.col("n_regionkey") != F.col("r_regionkey")).alias("broken"))
+    # each nation is also labelled with a region by a rule; where the path of both labels isn't one of the taxonomy's it is broken
+    tree = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = tree.withColumn("said", (F.col("n_nationkey") * 7 + 1) % 5)
+    paths = tree.select(F.col("n_nationkey").alias("leaf"), F.col("r_regionkey").alias("parent"), F.lit(True).alias("whole"))
+    j = said.join(paths, (F.col("n_nationkey") == F.col("leaf")) & (F.col("said") == F.col("parent")), "left")
+    return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"), F.count_if(F.col("whole").isNull()).alias("broken"))
 
 
 @query("WITH u AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 > 0), c AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (n > 1) AS repeated FROM c")
@@ -433,10 +440,12 @@ def question_template(spark, d):
     return read(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("letter"), F.replace(F.lit("a {L1} event"), F.lit("{L1}"), F.col("event_type")).alias("question"))
 
 
-@query("SELECT doc_id, rtrim(regexp_extract('[lang]: ' || lang || '; [source]=' || source || '.', 'source\\][:=]?\\s*([^\\s;]+)', 1), '.') AS field FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' and ' || source WHEN 1 THEN source END AS field FROM documents")
 def delimited_field(spark, d):
-    line = F.concat(F.lit("[lang]: "), "lang", F.lit("; [source]="), "source", F.lit("."))
-    return read(spark, d, "documents").select("doc_id", text.delimited_field(line, "source").alias("field"))
+    own = F.concat(F.lit("【Lang】 : "), "lang", F.lit(" and "), "source", F.lit("。 . 【source】x"))
+    line = F.when(F.col("doc_id") % 3 == 0, own).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("a b\nlang = "), "source", F.lit(",\nz"))).otherwise("language of it")
+    return read(spark, d, "documents").select("doc_id", text.delimited_field(line, "lang").alias("field"))
+
 
 def _mock_sql(turn: int, truth: str) -> str:
     limit = {1: "e666", 2: "cccd", 3: "b333"}[turn]
@@ -451,12 +460,12 @@ def mock_cascade(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from evalweave.plans import records  # noqa: F401  (registers its queries)
+    from evalweave.plans import records, results  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from evalweave.plans import records  # noqa: F401
+    from evalweave.plans import records, results  # noqa: F401
 
     return dict(_SQL)

@@ -40,18 +40,35 @@ def series(df: DataFrame, family: str, collection: str, text_value: str, positiv
 
 
 def distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """groups, value, mass: steps of the distribution of each group, with the point of mass 0 at its least value."""
-    one = F.concat_ws("\u0001", *groups)
-    steps = selection.ecdf(df.filter(F.col(value).isNotNull()).withColumn("_g", one), "_g", value)
+    """groups, value, mass: steps of the distribution of each group, with the point of mass 0 at its least value. Null is a group's own."""
+    steps = selection.ecdf(df.select(F.struct(*groups).alias("_g"), value), "_g", value)
     start = steps.groupBy("_g").agg(F.min(value).alias(value)).withColumn("mass", F.lit(0.0))
-    out = start.unionByName(steps)
-    return out.select(*[F.get(F.split("_g", "\u0001"), F.lit(i)).alias(g) for i, g in enumerate(groups)], value, "mass")
+    return start.unionByName(steps).select("_g.*", value, "mass")
 
 
 def representatives(df: DataFrame, group: str, key: str, values: list[str]) -> DataFrame:
-    """The class representatives with their distance and how many rows are as near."""
-    near = selection.robust_medoid(df, group, key, values)
-    return near.select(group, key, "distance", F.col("n").alias("rows"))
+    """The class representatives with their proof: group, key, distance, rows, ties (rows as near), used and dropped (values
+    whose interquartile range is not, or is, 0), and of each value v: v, v_low, v_median, v_high, v_iqr.
+    """
+    near = selection.medoid_distances(df, group, key, values)
+    of = [c for v in values for c in (v, f"{v}_low", f"{v}_median", f"{v}_high")]
+    # ties are counted by pre-aggregated distances: few to a group in any task
+    best = near.groupBy(group).agg(F.min(F.struct("distance", key, *of)).alias("m"), F.count(F.lit(1)).alias("rows"))
+    ties = near.groupBy(group, "distance").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.min(F.struct("distance", "n")).alias("t")).select(F.col(group).alias("_of"), F.col("t.n").alias("ties"))
+    own = best.join(ties, best[group].eqNullSafe(ties["_of"]))
+    iqr = {v: F.col(f"m.{v}_high") - F.col(f"m.{v}_low") for v in values}
+    names = lambda keep: F.array_join(F.array_compact(F.array(*[F.when(keep(iqr[v]), F.lit(v)) for v in values])), ",")
+    return own.select(group, F.col(f"m.{key}").alias(key), F.col("m.distance").alias("distance"), "rows", "ties", names(lambda q: q > 0).alias("used"), names(lambda q: q <= 0).alias("dropped"), *[F.col(f"m.{c}").alias(c) for c in of], *[F.round(iqr[v], 9).alias(f"{v}_iqr") for v in values])
+
+
+def source_representatives(df: DataFrame, group: str, source: str, channel: str, quality: str, values: list[str]) -> DataFrame:
+    """group, source, channels, distance, rows, ties, ...: of the eligible sources of each group, one vote each, the one
+    nearest to the group's medians of values (properties of the source) and of its chosen channels' mean quality.
+    """
+    pairs = channel_pairs(df, group, source, channel, quality)
+    own = df.groupBy(group, source).agg(*[F.min(v).alias(v) for v in values])
+    near = representatives(pairs.join(own, [group, source]).select(group, source, "quality", *values), group, source, ["quality", *values])
+    return near.join(pairs.select(group, source, "channels"), [group, source])
 
 
 def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -65,10 +82,12 @@ def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
 def channel_pairs(df: DataFrame, group: str, source: str, channel: str, quality: str) -> DataFrame:
     """group, source, channels array<long>, quality: each eligible source with its lowest one or two channels.
 
-    Two channels where every group has a source with two, else one for all. A source's channels are few; the mean of the
-    chosen ones' quality is its vote.
+    Two channels where every group has a source with two, else one for all. The mean of the chosen ones' quality is the
+    source's vote.
     """
-    s = df.groupBy(group, source).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(quality).alias("q")))).alias("all"))
+    # a source's rows are cut to its two lowest channels before they meet: Spark bounds the rank in each task
+    low = df.select(group, source, F.col(channel).alias("c"), F.col(quality).alias("q")).withColumn("_r", F.row_number().over(Window.partitionBy(group, source).orderBy("c", "q"))).filter("_r <= 2")
+    s = low.groupBy(group, source).agg(F.array_sort(F.collect_list(F.struct("c", "q"))).alias("all"))
     most = s.groupBy(group).agg(F.max(F.size("all")).alias("m")).agg(F.least(F.lit(2), F.min("m")).alias("k"))
     own = s.crossJoin(F.broadcast(most)).filter(F.size("all") >= F.col("k")).withColumn("own", F.slice("all", F.lit(1), F.col("k")))
     mean = F.aggregate("own", F.lit(0.0), lambda a, x: a + x["q"].cast("double")) / F.col("k")

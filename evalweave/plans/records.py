@@ -151,10 +151,10 @@ def performance_range(spark, d):
     return figures.performance_range(both, "truth", "m", "v", 2)
 
 
-_STATES = ["invalid_format", "l1_error", "l2_error", "l3_error", "correct"]
+_STATES = metrics.STRICT_STATES
 
 
-@query(f"WITH s AS (SELECT truth, CASE WHEN NOT valid THEN 1 WHEN NOT ok1 THEN 2 WHEN NOT ok2 THEN 3 WHEN NOT ok3 THEN 4 ELSE 5 END AS i, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL), g AS (SELECT truth, i, coalesce(n, 0) AS n FROM (SELECT DISTINCT truth FROM s) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5])::INT AS i) LEFT JOIN s USING (truth, i)) SELECT truth, {_STATES}[i] AS state, n, round((sum(n) OVER (PARTITION BY truth ORDER BY i) - n) / sum(n) OVER (PARTITION BY truth), 6) AS start, round(n / sum(n) OVER (PARTITION BY truth), 6) AS share FROM g")
+@query(f"WITH s AS (SELECT truth, CASE WHEN NOT valid THEN 1 WHEN NOT ok1 THEN 2 WHEN pred = 'unknown' THEN 3 WHEN truth <> pred THEN 4 ELSE 5 END AS i, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL), g AS (SELECT truth, i, coalesce(n, 0) AS n FROM (SELECT DISTINCT truth FROM s) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5])::INT AS i) LEFT JOIN s USING (truth, i)) SELECT truth, {_STATES}[i] AS state, n, round((sum(n) OVER (PARTITION BY truth ORDER BY i) - n) / sum(n) OVER (PARTITION BY truth), 6) AS start, round(n / sum(n) OVER (PARTITION BY truth), 6) AS share FROM g")
 def outcome_bars(spark, d):
     return figures.outcome_bars(predictions(spark, d), "truth", _STATES, metrics.outcome_state())
 

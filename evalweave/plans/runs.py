@@ -58,7 +58,7 @@ def silent_control(records: DataFrame, headers: DataFrame, out: str) -> dict[str
 def results(runs: dict[str, DataFrame], classes: list[str]) -> dict[str, DataFrame]:
     """summary, classes, diagnostics and outcomes of several runs with the run's name: runs are few, each read once a frame.
 
-    A run has truth, pred, ok1 to ok3 and valid.
+    A run has truth, pred, ok1 to ok3 and what outcome_state reads: l3, leaf, skipped, t1_status, t2_status.
     """
 
     def each(make) -> DataFrame:
