@@ -41,6 +41,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most so many rows; else Spark joins it as it does."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def give_back() -> None:
+    """At the end of a task: what its worker has freed goes back to the system, as the worker stays for other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI, wherever a task runs."""
     from pyarrow import fs

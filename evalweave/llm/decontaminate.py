@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, open_fs, scratch
+from .common import free_name, give_back, materialize, open_fs, scratch
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -167,6 +167,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for x in shards(batches):
                 found = windows.hits(list(x["text"]))
                 yield pd.DataFrame({key: x[key].astype("Int64"), "n_words": [n for n, _, _ in found], "spans": [[{"start": a, "end": b} for a, b in s.tolist()] for _, s, _ in found], "items": [sorted(i) for _, _, i in found]})
+            give_back()
 
         return go
 
@@ -214,6 +215,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             again.append(k)
                 todo = sorted(set(again))  # what is left may join to a passage
             yield pd.Series(texts, dtype=object)
+        give_back()
 
     (text,) = (c for c in docs.columns if c.lower() == "text")
     counted = [c for c in docs.columns if c.lower() == "n_chars"]

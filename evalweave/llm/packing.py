@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .tokens import default_path, encoder
 
 SEQUENCE = 2048
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
                 columns = [doc_ids.take(pa.array(at + doc)), start, length, crc, tokens[doc], np.full(len(doc), task, np.int32), nth]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.int32(), pa.int64()], strict=True)], PIECES.replace(" long", "").replace(" int", "").split(", "))
                 at += len(ends)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize, small
 
 #: Statistics of the vector and the standard deviation that each has at least.
 FLOORS = {"log_words": 0.5, "word_length": 0.5, "symbol_share": 0.005, "dup_line_share": 0.1, "repeat_share": 0.15, "distinct_share": 0.1}
 P = len(FLOORS)
 #: Share of the rows that estimates rest on, and rows of a group at least.
 H, LEAST = 0.75, 60
+#: Groups up to which models are broadcast, at some 300 bytes each.
+BROADCAST = 20_000
 #: Change of the determinant's logarithm below which a group has settled, and steps after which what is found counts.
 SETTLED, STEPS = 1e-2, 20
 #: Squared distance that a normal vector of this size exceeds once in a thousand million.
@@ -85,7 +87,9 @@ def _measure():
             n, chars, symbols, dup, rep, lines, distinct = c.T
             one = np.maximum(n, 1)
             x = np.stack([np.log(one), chars / one, symbols / np.maximum(chars, 1), dup / np.maximum(lines, 1), rep / one, distinct / one], 1)
+            del own
             yield pd.DataFrame(dict(zip(COUNTS, c.T[:5], strict=True)) | {"base_failed": (n < 50) | (100 * rep > 50 * n), "x": list(x)})
+        give_back()
 
     return measure
 
@@ -189,7 +193,7 @@ def _starts(rows: DataFrame) -> DataFrame:
             mean, spread = (v[:, :, 1] + 0.5) * floors / _PER_FLOOR, (v[:, :, 2] - v[:, :, 0]) * floors / _PER_FLOOR / 1.349
             yield _model(b["grp"], 0, b["total"], mean, (spread**2 + floors**2)[:, :, None] * np.eye(P), math.inf)
 
-    sums = rows.join(packed.select("grp", "total"), "grp").groupBy("grp").agg(F.lit(1).alias("start"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *_sums())
+    sums = rows.join(small(packed.select("grp", "total"), BROADCAST), "grp").groupBy("grp").agg(F.lit(1).alias("start"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *_sums())
     return packed.mapInPandas(quartiles, _MODEL).union(_estimated(sums, 1.0).withColumn("logdet", F.lit(math.inf)))
 
 
@@ -200,9 +204,10 @@ def fit(stats: DataFrame) -> DataFrame:
     rows = passed.select(F.explode("groups").alias("grp"), *_X)
     now, done, scale = materialize(_starts(rows), "mcd-start"), [], consistency()
     for _ in range(STEPS):
+        now = small(now, 2 * BROADCAST)
         near = _with_distance(rows.join(now, "grp")).select("grp", "start", _bin().alias("bin"))
         limit = materialize(_at_share(near.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], [H]).select("grp", "start", "q0").join(now, ["grp", "start"]), "mcd-limit")
-        closest = _with_distance(rows.join(limit, "grp")).filter(_bin() <= F.col("q0"))
+        closest = _with_distance(rows.join(small(limit, 2 * BROADCAST), "grp")).filter(_bin() <= F.col("q0"))
         sums = closest.groupBy("grp", "start").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *_sums())
         was = now.select("grp", "start", F.col("logdet").alias("was"))
         step = materialize(_estimated(sums, scale).join(was, ["grp", "start"]), "mcd-step")
@@ -233,7 +238,7 @@ def _judged(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     last = [] if whole is None else [F.struct(*[F.lit(whole[c]).alias(c) for c in (*_M, *_V)])]
     chosen = materialize(groups.select(F.col("k0").alias("_k"), F.coalesce("g0", "g1", *last).alias("g")).select("_k", "g.*"), "mcd-by-group")
     vector = [F.get("m.x", F.lit(i)).alias(x) for i, x in enumerate(_X)]
-    out = _with_distance(measured.select("*", *vector, _groups(lang, source)[0].alias("_k")).join(chosen, "_k", "left"))
+    out = _with_distance(measured.select("*", *vector, _groups(lang, source)[0].alias("_k")).join(small(chosen, BROADCAST), "_k", "left"))
     return out.select(*columns, "distance", (~F.col("m.base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
 
 

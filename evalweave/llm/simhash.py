@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .graph import components
 
 SEED = 42
@@ -59,6 +59,8 @@ def _printed():
     def printed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for own in texts:
             yield pd.Series(np.array([fingerprint(t) for t in own], np.uint64).view(np.int64))
+            del own
+        give_back()
 
     return printed
 
@@ -136,8 +138,8 @@ def roots_of(x: np.ndarray, reach: int) -> np.ndarray:
     return root
 
 
-def link(prints: DataFrame, reach: int = 2) -> DataFrame:
-    """prints (doc_id, fp, ...) -> the same with component_id, the smallest doc_id that is reachable, and joined, a fingerprint that names the component."""
+def group(prints: DataFrame, reach: int = 2) -> DataFrame:
+    """prints (fp, ...) -> the same with joined, a fingerprint that names the component, as a table of its own."""
     nodes = materialize(prints.select("fp").distinct(), "fingerprints")
     n = nodes.count()
     leaves = max(1, min(SHARDS, n // SHARD))
@@ -166,7 +168,12 @@ def link(prints: DataFrame, reach: int = 2) -> DataFrame:
     joined = own.join(merged, own.root == merged.node, "left").select("fp", F.coalesce("component", "root").alias("joined"))
     where = materialize(joined, "joined")
     # large groups of one fingerprint or component: plain equi-joins of written tables, which Spark splits by size
-    placed = materialize(prints.join(where, "fp", "left").withColumn("joined", F.coalesce("joined", "fp")), "placed")
+    return materialize(prints.join(where, "fp", "left").withColumn("joined", F.coalesce("joined", "fp")), "placed")
+
+
+def link(prints: DataFrame, reach: int = 2) -> DataFrame:
+    """prints (doc_id, fp, ...) -> the same with joined and component_id, the smallest doc_id that is reachable."""
+    placed = group(prints, reach)
     least = materialize(placed.groupBy("joined").agg(F.min("doc_id").alias("component_id")), "smallest")
     return placed.join(least, "joined")
 
@@ -182,7 +189,7 @@ def deduplicate(docs: DataFrame, reach: int = 2) -> DataFrame:
     at = {c.lower(): n for c, n in zip(docs.columns, own, strict=True)}
     printed = docs.toDF(*own).withColumn("fp", _printed()(F.col(at["text"]))).withColumn("row", F.monotonically_increasing_id())
     printed = materialize(printed, "printed")
-    found = link(printed.select(F.col(at["doc_id"]).alias("doc_id"), "fp", "row"), reach)
+    found = group(printed.select(F.col(at["doc_id"]).alias("doc_id"), "fp", "row"), reach)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     stay = materialize(found.groupBy("joined").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("joined", F.col("s.row").alias("stays")), "staying")
     go = materialize(found.select("joined", "row").join(stay, "joined").filter("row <> stays").select("row"), "going")

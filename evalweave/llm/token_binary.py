@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import materialize, open_fs, scratch
+from .common import give_back, materialize, open_fs, scratch
 from .tokens import default_path, encoder
 
 MAGIC = b"EWTOK2\n\0"
@@ -119,6 +119,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, file
                     nth += 1
         if held[0]:
             yield close()
+        give_back()
 
     return materialize(rows.mapInArrow(write, "part int, nth int, file string, n_docs long, n_ids long"), "token-files")
 
@@ -143,6 +144,7 @@ def read_tokens(spark: SparkSession, out_dir: str, files: DataFrame) -> DataFram
                     low = int(e[0] - m[0])
                     own = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer((4 * np.concatenate(([0], e - low))).astype(np.int32)), pa.py_buffer(raw[low : e[-1]])])
                     yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 2000], pa.int64()), pa.array(base + e - m, pa.int64()), pa.array(m), own], ["doc_id", "start", "n_tokens", "ids"])
+        give_back()
 
     return starts.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 

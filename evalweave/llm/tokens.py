@@ -18,9 +18,9 @@ import re
 from itertools import chain
 
 #: Words held by a worker, at some 50 bytes each.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Bytes of the texts that are taken apart at once, unless one text has more.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: New words joined for one call of the library.
 JOINED = 256
 
@@ -92,7 +92,9 @@ class PieceEncoder:
         import pyarrow.compute as pc
 
         np = self.np
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.cast(pa.large_string())
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
         reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
@@ -115,11 +117,14 @@ class PieceEncoder:
         all_words = split.flatten()
         numbered = all_words.dictionary_encode()
         word = self._numbers(numbered.dictionary)[numbered.indices.to_numpy()]
+        openings = [] if self.drops_space else all_words.take(bounds[:-1]).to_pylist()
+        del split, all_words, numbered  # what comes next takes as much room
         starts, many = self.starts[word], self.lengths[word]
+        del word
         flat = self.flat
         if not self.drops_space and len(own):
             k = bounds[:-1]
-            opening = [self._opening(w) for w in all_words.take(k).to_pylist()]
+            opening = [self._opening(w) for w in openings]
             many[k] = list(map(len, opening))
             starts[k] = len(flat) + np.cumsum(many[k]) - many[k]
             flat = np.concatenate((flat, np.fromiter(chain.from_iterable(opening), self.dtype)))
@@ -130,7 +135,10 @@ class PieceEncoder:
         length[~even] = list(map(len, rest))
         ends = np.cumsum(length + extra)
         # a word's ids lie in flat from its start on: what its place in the result is ahead of that goes to all of them
-        ids = flat[np.repeat(starts - upto[:-1], many) + np.arange(upto[-1])]
+        at = np.repeat(starts - upto[:-1], many)
+        at += np.arange(upto[-1])
+        ids = flat.take(at)
+        del at
         if not rest and not extra:
             return ids, ends
         out = np.empty(int(ends[-1]) if n else 0, self.dtype)
