@@ -66,10 +66,14 @@ def medoid_distances(df: DataFrame, group: str, key: str, values: list[str]) ->
     whole = reduce(lambda a, b: a & b, [_finite(F.col(v)) for v in values])
     bad = F.raise_error(F.concat(F.lit("a feature is missing or not finite in the row "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     near = df.withColumn(values[0], F.when(whole, F.col(values[0])).otherwise(bad.cast(df.schema[values[0]].dataType)))
+    # all values' quartiles from one pass over (group, value's name, value)
+    long = near.select(F.inline(F.array(*[F.struct(F.struct(F.col(group).alias("g"), F.lit(v).alias("f")).alias("_key"), F.col(v).cast("double").alias("_v")) for v in values])))
+    names = ["low", "median", "high"]
+    q = quantiles(long, "_key", "_v", [0.25, 0.5, 0.75], names)
+    q = q.groupBy(F.col("_key.g").alias("_of")).agg(*[F.max(F.when(F.col("_key.f") == v, F.col(n))).alias(f"{v}_{n}") for v in values for n in names])
+    near = near.join(q, near[group].eqNullSafe(q["_of"])).drop("_of")
     d: list[Column] = []
     for v in values:
-        q = quantiles(near, group, v, [0.25, 0.5, 0.75], [f"{v}_low", f"{v}_median", f"{v}_high"]).withColumnRenamed(group, "_of")
-        near = near.join(q, near[group].eqNullSafe(q["_of"])).drop("_of")
         iqr = F.col(f"{v}_high") - F.col(f"{v}_low")
         d.append(F.when(iqr > 0, F.pow((F.col(v) - F.col(f"{v}_median")) / iqr, F.lit(2.0))).otherwise(0.0))
     return near.withColumn("distance", F.round(reduce(lambda a, b: a + b, d), 9))

@@ -392,9 +392,10 @@ def level_and_phase(spark, d):
     return read(spark, d, "events").select("event_id", F.round(arrays.decibels(v / 50, -60.0), 6).alias("db"), F.round(20 * F.log10(F.greatest(v, F.lit(1e-40))), 6).alias("scale_db"), F.least(F.lit(40), F.greatest(F.lit(4), F.ceil(v * 0.7))).cast("long").alias("beams"), F.round(F.hypot(v, F.lit(3.0)), 6).alias("radius"), F.round(F.atan2(v, F.lit(3.0)), 6).alias("phase"))
 
 
-@query("SELECT vec_id, list_sort(embedding[1:3]) = embedding[1:3] AND embedding[1] < embedding[2] AND embedding[2] < embedding[3] AS increasing FROM embeddings")
+@query("SELECT vec_id, w = list_sort(list_distinct(w)) AS increasing FROM (SELECT vec_id, list_transform(generate_series(1, len(embedding)), lambda i: abs(CAST(embedding[i] AS DOUBLE)) + i * 0.25) AS w FROM embeddings)")
 def increasing_check(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", arrays.is_increasing(F.slice("embedding", 1, 3)).alias("increasing"))
+    risen = F.transform("embedding", lambda v, i: F.abs(v.cast("double")) + (i + 1) * F.lit(0.25))
+    return read(spark, d, "embeddings").select("vec_id", arrays.is_increasing(risen).alias("increasing"))
 
 
 @query("WITH u AS (UNPIVOT (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem) ON quantity, discount, tax INTO NAME metric VALUE v) SELECT l_returnflag, metric, count(v) AS count, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean FROM u GROUP BY ALL")
@@ -460,12 +461,12 @@ def mock_cascade(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from evalweave.plans import records, results  # noqa: F401  (they register their queries)
+    from evalweave.plans import formats, records, results  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from evalweave.plans import records, results  # noqa: F401
+    from evalweave.plans import formats, records, results  # noqa: F401
 
     return dict(_SQL)
