@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,25 +114,76 @@ def cluster_bootstrap(df: DataFrame, cluster: str, classes: list[str], replicate
     return q.select("measure", "run", "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, tasks: int = 8) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42, tasks: int = 8, most: int = 1_000_000) -> DataFrame:
     """low, high of the mean of a row's figure over resampled rows; null for fewer than five rows. Null figures are left out.
 
     Rows are reduced to distinct figures with counts, so what a replicate draws grows with the distinct figures (a right or
-    wrong answer has two), not with the rows; more than a million distinct ones are an error.
+    wrong answer has two), not with the rows. Up to `most` of them a replicate draws all rows at once; beyond, each figure is
+    drawn by itself, a Poisson number of times, in tasks that hold a bucket of figures: the same interval for so many rows.
     """
     k = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    own = np.array([tuple(r) for r in k.orderBy("v").limit(1_000_001).collect()], float).reshape(-1, 2)
-    if len(own) > 1_000_000:
-        raise ValueError("more than a million distinct figures: round them first")
-    total = int(own[:, 1].sum())
+    kinds, total = k.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
     if total < 5:
         return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
+    spark, tail = df.sparkSession, (1.0 - level) / 2
+    if kinds > most:
+        means = _poisson_means(k, kinds, replicates, seed, max(1, most // 64))
+    else:
+        own = np.array([tuple(r) for r in k.orderBy("v").collect()], float).reshape(-1, 2)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                drawn = [np.random.default_rng([seed, int(i)]).multinomial(total, own[:, 1] / total) @ own[:, 0] / total for i in x["id"]]
+                yield pd.DataFrame({"v": drawn})
+
+        means = spark.range(0, replicates, 1, tasks).mapInPandas(run, "v double")
+    v = means.agg(F.array_sort(F.collect_list("v")).alias("v"))  # as many as replicates
+    return v.select(F.get("v", F.lit(int(replicates * tail))).alias("low"), F.get("v", F.lit(min(replicates - 1, int(replicates * (1 - tail))))).alias("high"))
+
+
+def _poisson_means(k: DataFrame, kinds: int, replicates: int, seed: int, bucket: int) -> DataFrame:
+    """v: the mean of each replicate. k (v, m) is dealt by hash into buckets of about so many figures, each with its own seed."""
+    buckets = max(1, -(-kinds // bucket))
+
+    def draw(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("v")
+        rng, v, sums = np.random.default_rng([seed, int(key[0])]), x["v"].to_numpy(), np.zeros((replicates, 2))
+        for i in range(0, len(x), 1024):
+            n = rng.poisson(x["m"].to_numpy()[i : i + 1024], (replicates, len(v[i : i + 1024])))
+            sums += np.stack((n @ v[i : i + 1024], n.sum(1)), 1)
+        return pd.DataFrame({"id": np.arange(replicates), "s": sums[:, 0], "n": sums[:, 1]})
+
+    dealt = k.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    drawn = dealt.groupBy("b").applyInPandas(draw, "id long, s double, n double")
+    return drawn.groupBy("id").agg((F.sum("s") / F.sum("n")).alias("v")).select("v")
+
+
+def bootstrap_metric(df: DataFrame, columns: list[str], metric: Callable[[pd.DataFrame], float], replicates: int = 1000, level: float = 0.95, seed: int = 42, tasks: int = 8, most: int = 100_000) -> DataFrame:
+    """estimate, low, high of any metric of a sample, which gets its rows as distinct values of columns with their count n.
+
+    Such values are few for labels and predictions; more than `most` are an error. Fewer than five rows, or under nine tenths
+    of replicates with a finite metric, give a null interval.
+    """
+    k = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    own = k.orderBy(*columns).limit(most + 1).toPandas()
+    if len(own) > most:
+        raise ValueError(f"more than {most} distinct rows of {', '.join(columns)}")
+    schema, total = "estimate double, low double, high double", int(own["n"].sum())
+    whole = float(metric(own)) if total else None
+    if total < 5:
+        return df.sparkSession.createDataFrame([(whole, None, None)], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            drawn = [np.random.default_rng([seed, int(i)]).multinomial(total, own[:, 1] / total) @ own[:, 0] / total for i in x["id"]]
-            yield pd.DataFrame({"v": drawn})
+            out = []
+            for i in x["id"]:
+                n = np.random.default_rng([seed, int(i)]).multinomial(total, own["n"] / total)
+                out.append(float(metric(own.assign(n=n)[n > 0])))
+            yield pd.DataFrame({"v": out})
 
+    drawn = df.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "v double").filter(~F.isnan("v") & (F.abs("v") < float("inf")))
     tail = (1.0 - level) / 2
-    v = df.sparkSession.range(0, replicates, 1, tasks).mapInPandas(run, "v double").agg(F.array_sort(F.collect_list("v")).alias("v"))  # as many as replicates
-    return v.select(F.get("v", F.lit(int(replicates * tail))).alias("low"), F.get("v", F.lit(min(replicates - 1, int(replicates * (1 - tail))))).alias("high"))
+    v = drawn.agg(F.array_sort(F.collect_list("v")).alias("v"))  # as many as replicates
+    n = F.size("v")
+    at = lambda share: F.when(n >= 0.9 * replicates, F.get("v", F.least(n - 1, (n * share).cast("int"))))
+    return v.select(F.lit(whole).alias("estimate"), at(F.lit(tail)).alias("low"), at(F.lit(1 - tail)).alias("high"))

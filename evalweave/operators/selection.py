@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.operators.quantiles import cumulative, quantiles
@@ -136,3 +136,29 @@ def group_split(df: DataFrame, label: str, source: str, seed: str, ratios: tuple
     before = [reduce(lambda a, b: a + b, [((part[j] > part[i]) if j > i else (part[j] >= part[i])).cast("int") for j in range(3) if j != i]) for i in range(3)]
     size = [b + (k < left).cast("int") for b, k in zip(base, before, strict=True)]
     return ranked.select(label, source, F.when(F.col("_r") <= size[0], "train").when(F.col("_r") <= size[0] + size[1], "val").otherwise("test").alias("split"))
+
+
+def shard(df: DataFrame, order: list[str], shards: int, index: int, limit: int | None = None) -> DataFrame:
+    """Every shards-th row from index on, in an order whose keys are unique, and of these the first `limit`.
+
+    Rows are numbered by ranges of the order: a task numbers its own range, and the ranges before it add what they hold.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) for c in order]).select("*", F.spark_partition_id().alias("_p"))
+    numbered = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    held = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = held.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a range
+    own = numbered.join(before, "_p").withColumn("_at", F.col("_i") + F.col("_before")).filter(F.col("_at") % shards == index)
+    if limit is not None:
+        own = own.filter(F.col("_at") < limit * shards + index)
+    return own.drop("_p", "_i", "_n", "_before", "_at")
+
+
+def mock_samples(spark: SparkSession, n: int, taxonomy: dict[str, tuple[str, str]], seed: int = 42) -> DataFrame:
+    """id, l1, l2, l3, audio, snr_db (-15 to 25), complexity (0 to 10) of n made-up samples, by hashes of their numbers."""
+    leaves = sorted(taxonomy)
+    part = lambda name: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), F.lit(1_000_003)) / 1_000_003
+    at = (part("leaf") * len(leaves)).cast("int")
+    own = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    x = spark.range(n).select("id", own(leaves).alias("l3"), own([taxonomy[k][1] for k in leaves]).alias("l2"), own([taxonomy[k][0] for k in leaves]).alias("l1"), (part("snr") * 40 - 15).alias("snr_db"), (part("complexity") * 10).alias("complexity"))
+    name = F.format_string("mock_%s_%06d", "l3", "id")
+    return x.select(name.alias("id"), "l1", "l2", "l3", F.concat(F.lit("mock/audio/"), "l3", F.lit("/"), name, F.lit(".wav")).alias("audio"), "snr_db", "complexity")

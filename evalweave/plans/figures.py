@@ -124,3 +124,44 @@ def summary(df: DataFrame) -> DataFrame:
     top = df.agg(F.count(F.lit(1)).alias("total"), acc("ok1").alias("l1_accuracy"), acc("ok2").alias("l2_accuracy"), acc("ok3").alias("l3_accuracy"))
     leaf = metrics.level_summary(metrics.confusion(df)).select(F.col("macro_f1").alias("l3_macro_f1"))
     return top.crossJoin(metrics.conditional_accuracy(df)).crossJoin(leaf)  # one row each
+
+
+def summary_plots(df: DataFrame, levels: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """The data of the nine summary pictures of a run with ok1 to ok3 and, by level, a truth and a prediction column: shares of
+    each level's confusions, metrics of each level's classes, label counts, the funnel and the leaf's largest confusions.
+    """
+    out: dict[str, DataFrame] = {}
+    for name, (truth, pred) in levels.items():
+        conf = metrics.confusion(df, truth, pred)
+        out[f"{name}_confusion"] = metrics.confusion_share(conf)
+        out[f"{name}_classes"] = metrics.class_metrics(conf)
+    out["labels"] = relations.label_distribution(df, [t for t, _ in levels.values()])
+    out["funnel"] = metrics.cascade_funnel(df)
+    out["top_confusions"] = metrics.top_confusions(conf)
+    return out
+
+
+def dataset_quality(df: DataFrame, group: str, key: str, features: list[str], shown: list[str]) -> dict[str, DataFrame]:
+    """The data of a data set's picture: rows of each class, the classes' representatives, and the shown figures' distributions."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    return {"counts": counts, "representatives": representatives(df, group, key, features)} | {f"{v}_distribution": selection.ecdf(df, group, v) for v in shown}
+
+
+def spectra(waves: DataFrame, key: str, samples: str, rate: int, length: int, hop: int, nfft: int | None = None, floor: float = -60.0) -> DataFrame:
+    """key, frequency, time, db, high: spectrograms of a few chosen recordings in decibels below the largest power of all of
+    them, which all pictures share. What a recording is refused for is an error.
+    """
+    from evalweave.functions import signals
+
+    def cells(batches):
+        import pandas as pd
+
+        for b in batches:
+            for k, v in zip(b[key], b[samples], strict=True):
+                f, t, power, _ = signals.spectrogram(v, rate, length, hop, nfft)
+                yield pd.DataFrame({key: k, "frequency": list(f) * len(t), "time": [x for x in t for _ in f], "power": power.ravel()})
+
+    kind = dict(waves.dtypes)[key]
+    x = waves.select(key, samples).mapInPandas(cells, f"{key} {kind}, frequency double, time double, power double")
+    top = x.agg(F.max("power").alias("high"))  # one row
+    return x.crossJoin(top).select(key, "frequency", "time", (10 * F.log10(F.greatest(F.col("power") / F.col("high"), F.lit(10 ** (floor / 10))))).alias("db"), "high")

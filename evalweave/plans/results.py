@@ -241,3 +241,24 @@ def missing_classes(spark, d):
 @query("WITH c AS (SELECT event_id % 13 AS profile, count(*) AS n FROM events WHERE event_id < 1000 GROUP BY 1) SELECT profile, n, round(n / sum(n) OVER (), 6) AS share, count(*) OVER () = 1 AS all_same FROM c")
 def draw_audit(spark, d):
     return relations.draw_audit(read(spark, d, "events").filter("event_id < 1000").select((F.col("event_id") % 13).alias("profile")), "profile")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i % 7 = 3 ORDER BY event_id LIMIT 400")
+def shard_rows(spark, d):
+    return selection.shard(read(spark, d, "events").select("event_id"), ["event_id"], 7, 3, 400)
+
+
+@query(f"WITH c AS (SELECT truth, pred, count(*) AS n FROM ({_BASE}) GROUP BY ALL), l AS (SELECT * FROM c WHERE truth <> pred ORDER BY n DESC, truth DESC, pred DESC LIMIT 15) SELECT 'confusion' AS plot, truth || '>' || pred AS item, CAST(n AS DOUBLE) AS v FROM c UNION ALL SELECT 'top', truth || '>' || pred, n FROM l UNION ALL SELECT 'labels', truth, sum(n) FROM c GROUP BY truth")
+def summary_plots(spark, d):
+    from evalweave.plans.catalogue import predictions
+
+    x = figures.summary_plots(predictions(spark, d), {"leaf": ("truth", "pred")})
+    row = lambda df, plot, item, v: df.select(F.lit(plot).alias("plot"), item.alias("item"), v.cast("double").alias("v"))
+    pair = F.concat("truth", F.lit(">"), "pred")
+    return row(x["leaf_confusion"], "confusion", pair, F.col("n")).unionByName(row(x["top_confusions"], "top", pair, F.col("n"))).unionByName(row(x["labels"], "labels", F.col("label"), F.col("n")))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
+def dataset_quality(spark, d):
+    x = read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    return figures.dataset_quality(x, "p_brand", "p_partkey", ["size", "price"], ["price"])["counts"]

@@ -70,3 +70,21 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).mode("errorifexists").csv(path)
+
+
+def expand(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """path, bytes of the files that the patterns name, each once, by path; an error if one names none. Contents aren't read."""
+    found = None
+    for p in patterns:
+        own = spark.read.format("binaryFile").load(p).select("path", F.col("length").alias("bytes"))
+        if own.isEmpty():
+            raise FileNotFoundError(f"{p}: no files")
+        found = own if found is None else found.unionByName(own)
+    return found.distinct().orderBy("path")
+
+
+def by_class(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """class, path and the schema's columns of the files root/<class>/json/*.json, an object a file, comments allowed."""
+    files = spark.read.text(f"{root.rstrip('/')}/*/json/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    own = F.regexp_extract("path", r"([^/]+)/json/[^/]+$", 1)
+    return files.select(own.alias("class"), "path", F.from_json(strip_comments(F.col("value")), schema).alias("r")).select("class", "path", "r.*")

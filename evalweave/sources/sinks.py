@@ -7,6 +7,7 @@ name of the attempt's own and are renamed, so a task that runs again leaves the
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import hashlib
 import json
 import uuid
@@ -133,3 +134,52 @@ def report(title: str, sections: list[tuple[str, DataFrame]], notes: list[str] |
     if notes:
         parts.append("## Notes\n\n" + "\n".join(f"- {n}" for n in notes))
     return "\n\n".join(parts) + "\n"
+
+
+def write_gzip_lines(df: DataFrame, path: str, keys: list[str], files: int = 1) -> None:
+    """JSON lines in gzip files with nothing of the time in them: the same rows give the same bytes, ordered by their keys."""
+    rows = df.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    rows.write.mode("errorifexists").option("ignoreNullFields", False).option("compression", "gzip").json(path)
+
+
+def export_tar(df: DataFrame, out: str, path: str, content: str, packed: bool = True) -> DataFrame:
+    """file, members: tar files below out, one a partition, that hold the files of a column under audio/ and the other columns,
+    with that path rewritten, as records.jsonl. Times and owners are left out, so the same rows give the same bytes.
+    """
+    import io
+    import tarfile
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        fs, folder = file_system(out)
+        fs.create_dir(folder, recursive=True)
+        name = f"export-{TaskContext.get().partitionId():05d}.tar" + (".gz" if packed else "")
+        temporary, lines, n = f"{folder}/{name}.{uuid.uuid4().hex}.tmp", [], 0
+        tar = None
+        for b in batches:
+            for r in b.to_dict("records"):
+                if tar is None:
+                    raw = fs.open_output_stream(temporary)
+                    to = gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) if packed else raw
+                    tar = tarfile.open(fileobj=to, mode="w|")
+                data, own = bytes(r.pop(content)), "audio/" + r[path].replace("\\", "/").rsplit("/", 1)[-1]
+                for member, body in ((own, data),):
+                    info = tarfile.TarInfo(member)
+                    info.size = len(body)
+                    tar.addfile(info, io.BytesIO(body))
+                lines.append(json.dumps(r | {path: own}, sort_keys=True, default=str))
+                n += 1
+        if tar is not None:
+            body = ("\n".join(lines) + "\n").encode()
+            info = tarfile.TarInfo("records.jsonl")
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+            tar.close()
+            if packed:
+                to.close()
+            raw.close()
+            fs.move(temporary, f"{folder}/{name}")
+            yield pd.DataFrame({"file": [name], "members": [n]})
+
+    return df.mapInPandas(run, "file string, members long")

@@ -148,3 +148,58 @@ def test_guards(spark):
         answers.batch_guard(a, a, "id", "ok")
     sources = spark.createDataFrame([("a b", 1, "x"), ("s", None, "x"), ("t", 1, "x"), ("t", 2, "y"), ("u", 0, None), ("u", 1, None)], "s string, c int, f string")
     assert rows(validation.source_faults(sources, "s", "c", ["f"]).select("s", "fault")) == [("a b", "name"), ("s", "channels"), ("t", "agreement")]
+
+
+def test_draws_and_shards(spark):
+    from evalweave.operators import intervals
+
+    x = spark.range(4000).select((F.rand(3) * 10).alias("v"), (F.col("id") % 3 == 0).alias("ok"))
+    exact, poisson = (intervals.bootstrap_mean(x, "v", replicates=300, most=m).first() for m in (10_000, 100))
+    assert all(abs(a - b) < 0.05 for a, b in zip(exact, poisson)) and 4.8 < poisson["low"] < poisson["high"] < 5.2
+    r = intervals.bootstrap_metric(x, ["ok"], lambda k: float((k["ok"] * k["n"]).sum() / k["n"].sum()), replicates=200).first()
+    assert abs(r["estimate"] - 1334 / 4000) < 1e-9 and r["low"] < r["estimate"] < r["high"]
+    assert intervals.bootstrap_metric(x.limit(3), ["ok"], lambda k: 1.0).first()["low"] is None
+    ids = [r["id"] for r in selection.shard(spark.range(1000).repartition(7), ["id"], 4, 1, 20).orderBy("id").collect()]
+    assert ids == list(range(1, 80, 4))
+    m = selection.mock_samples(spark, 500, TREE)
+    assert m.count() == 500 and m.filter("snr_db between -15 and 25 and complexity between 0 and 10").count() == 500 and m.select("l3").distinct().count() == 2
+    assert rows(m) == rows(selection.mock_samples(spark, 500, TREE))
+
+
+def test_files_by_pattern_and_exports(spark, tmp_path):
+    import gzip
+    import hashlib
+    import tarfile
+
+    from evalweave.sources import records, sinks
+
+    for c in "ab":
+        (tmp_path / c / "json").mkdir(parents=True)
+        (tmp_path / c / "json" / "1.json").write_text('{"id": "%s" /* x */}' % c)
+    assert rows(records.by_class(spark, str(tmp_path), "id string").select("class", "id")) == [("a", "a"), ("b", "b")]
+    assert records.expand(spark, [f"{tmp_path}/*/json/*.json", f"{tmp_path}/a/json/1.json"]).count() == 2
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="no files|PATH_NOT_FOUND|does not exist"):
+        records.expand(spark, [f"{tmp_path}/empty"])
+    df = spark.createDataFrame([(k, f"x/{k}.wav", bytes([k])) for k in range(5)], "k int, path string, content binary")
+    digests = []
+    for n in range(2):
+        sinks.write_gzip_lines(df.orderBy(F.rand(n)).select("k"), str(tmp_path / f"gz{n}"), ["k"])
+        (f,) = (tmp_path / f"gz{n}").glob("*.gz")
+        assert gzip.open(f, "rt").read().count("\n") == 5
+        out = sinks.export_tar(df.coalesce(1), str(tmp_path / f"tar{n}"), "path", "content").collect()
+        assert [(r["file"], r["members"]) for r in out] == [("export-00000.tar.gz", 5)]
+        digests.append((hashlib.sha256(f.read_bytes()).hexdigest(), hashlib.sha256((tmp_path / f"tar{n}" / "export-00000.tar.gz").read_bytes()).hexdigest()))
+    assert digests[0] == digests[1]
+    with tarfile.open(tmp_path / "tar0" / "export-00000.tar.gz") as t:
+        assert t.getnames() == [f"audio/{k}.wav" for k in range(5)] + ["records.jsonl"] and t.extractfile("audio/3.wav").read() == b"\x03"
+
+
+def test_pictures(spark):
+    import numpy as np
+
+    waves = spark.createDataFrame([(k, np.sin(np.arange(800) * 0.1 * (k + 1)).tolist()) for k in range(2)], "k int, v array<double>")
+    x = figures.spectra(waves, "k", "v", 8000, 128, 64)
+    assert x.agg({"db": "max"}).first()[0] == 0 and x.agg({"db": "min"}).first()[0] == pytest.approx(-60) and x.select("high").distinct().count() == 1
+    q = figures.dataset_quality(spark.createDataFrame([("a", k, float(k)) for k in range(5)], "g string, k int, v double"), "g", "k", ["v"], ["v"])
+    assert q["counts"].first()["n"] == 5 and q["representatives"].first()["k"] == 2 and q["v_distribution"].count() == 5
