@@ -14,10 +14,11 @@ def test_quantiles_and_steps_against_brute_force(spark):
         if v is not None:
             by.setdefault(g, []).append(v)
     shares = [0.0, 0.25, 1 / 3, 0.5, 0.99, 1.0]
-    got = {r[0]: tuple(r)[1:] for r in quantiles.quantiles(df, "g", "v", shares, list("abcdef")).collect()}
-    assert got.keys() == by.keys()
-    for g, own in by.items():
-        assert got[g] == pytest.approx(np.quantile(own, shares))
+    for most in (quantiles.FEW, 0):
+        got = {r[0]: tuple(r)[1:] for r in quantiles.quantiles(df, "g", "v", shares, list("abcdef"), most).collect()}
+        assert got.keys() == by.keys()
+        for g, own in by.items():
+            assert got[g] == pytest.approx(np.quantile(own, shares))
     steps = {(r["g"], r["v"]): r["mass"] for r in selection.ecdf(df, "g", "v").collect()}
     assert steps == {(g, v): round(sum(x <= v for x in own) / len(own), 9) for g, own in by.items() for v in set(own)}
     summary = {r["o"]: r["median"] for r in selection.numeric_summary(df.withColumnRenamed("g", "o"), "o", "v").collect()}
