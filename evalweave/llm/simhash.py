@@ -7,7 +7,7 @@ Links: the distinct fingerprints, so that copies count once, go down a vantage-p
 them (the tree only places fingerprints: any tree gives the same links). At a node with vantage v and radius m those
 within m go in, others out; those at m-1 or m go out as well, since by the triangle inequality only they can have a
 partner within two bits on the other side. So any two that link meet in a shard. There a local tree with the same bounds
-leads to blocks that are compared pair by pair, and only each fingerprint's root in its shard leaves the task, not pairs.
+leads to blocks that are compared pair by pair (families too dense for a tree are peeled, core by core), and only each fingerprint's root in its shard leaves the task, not pairs.
 Shards that share a fingerprint link their roots; components of that small graph join the shards.
 
 Null text: no words. Null doc_id: kept, and never the smallest of a component unless all are null (then component_id is
@@ -30,9 +30,9 @@ from .graph import components
 
 SEED = 42
 #: Fingerprints of a shard that the tree aims at, shards at most, and sampled fingerprints for each shard.
-SHARD, SHARDS, SAMPLE = 1024, 8192, 32
-#: Fingerprints that a local tree leaves to be compared pair by pair.
-BLOCK = 512
+SHARD, SHARDS, SAMPLE = 1024, 65536, 32
+#: Fingerprints that a local tree leaves to be compared pair by pair, and share of a family up to which its rest is worth peeling.
+BLOCK, PEELED = 512, 0.95
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -103,7 +103,7 @@ def route(tree, x: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def linked_pairs(x: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of x within reach bits; a pair may come twice."""
+    """Positions of pairs of x (ascending) within reach bits that link all that are linked; a pair may come twice."""
     todo = [np.arange(len(x))]
     while todo:
         k = todo.pop()
@@ -114,12 +114,47 @@ def linked_pairs(x: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.nda
             if max(len(inside), len(outside)) < 0.9 * len(k):
                 todo += [inside, outside]
                 continue
+            if reach == 2:
+                pairs, rest = peeled(x, k)
+                if len(rest) <= PEELED * len(k):  # a dense family: its core is linked, what is left goes on
+                    yield from pairs
+                    todo.append(rest)
+                    continue
         for i in range(0, len(k), BLOCK):
             a, b = np.nonzero(np.bitwise_count(x[k[i : i + BLOCK], None] ^ x[None, k[i:]]) <= reach)
             keep = a < b
             yield k[i : i + BLOCK][a[keep]], k[i:][b[keep]]
 
 
+def peeled(x: np.ndarray, k: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Links of the core of a dense family, two bits apart, and the positions outside it. No pair within the core is compared.
+
+    The core is what lies within two bits of the fingerprint nearest to the majority of each bit, so all of it links to that
+    one. Any other links to the core only from three or four bits away, by bits that both have changed: few, and looked up.
+    """
+    ones = sum(np.unpackbits(x[k[i : i + 65536]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(k), 65536))
+    middle = np.packbits(ones * 2 > len(k), bitorder="little").view(np.uint64)[0]
+    centre = k[np.bitwise_count(x[k] ^ middle).argmin()]
+    changed = x[k] ^ x[centre]
+    d = np.bitwise_count(changed)
+    core = k[d <= 2]
+    pairs = [(np.full(len(core), centre), core)]
+    own, near = x[core], (d == 3) | (d == 4)
+    z, left, bits = k[near], changed[near], []
+    for _ in range(4):
+        low = left & (~left + np.uint64(1))
+        bits.append(low)
+        left = left ^ low
+    three = bits[3] == 0
+    tries = [(bits[i] | bits[j], bits[j] != 0) for i in range(4) for j in range(i + 1, 4)] + [(bits[i], three) for i in range(3)]
+    for change, valid in tries:
+        want = (x[centre] ^ change)[valid]
+        at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+        hit = own[at] == want
+        pairs.append((core[at[hit]], z[valid][hit]))
+    return pairs, k[d > 2]
+
+
 def roots_of(x: np.ndarray, reach: int) -> np.ndarray:
     """For each of x (ascending) the least position that it is linked to, through others too."""
     root = np.arange(len(x))
