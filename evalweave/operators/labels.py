@@ -254,3 +254,9 @@ def audit_finding(state: Column, kind: Column, gain: Column, wav_missing: Column
     if report_unverifiable:
         out = out.when(state == "missing", "unverifiable")
     return out.when(wav_missing, "missing recording")
+
+
+def embedded_labels(meta: Column, truth: str = "gt") -> Column:
+    """struct l1, l2, l3 of the truth inside a record; no other field stands in for it, and a missing one is an error."""
+    at = lambda k: F.coalesce(F.nullif(F.trim(field(meta, f"{truth}.{k}")), F.lit("")), F.raise_error(F.lit(f"a record has no {truth}.{k}")).cast("string"))
+    return F.struct(at("L1").alias("l1"), at("L2").alias("l2"), at("L3").alias("l3"))

@@ -209,3 +209,37 @@ def sidecar_faults(saved: DataFrame, manifest: DataFrame, index: DataFrame, sour
 def missing_classes(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
     """Those of the classes that no row has."""
     return df.sparkSession.createDataFrame([(c,) for c in classes], f"{column} string").join(df.select(column).distinct(), column, "left_anti")
+
+
+def relocated(used: DataFrame, moves: DataFrame, path: str) -> DataFrame:
+    """used with its paths as they are now: moves (old, new) names files that were moved, or folders by a trailing slash; the
+    longest that fits holds. Folders are looked up by each path's own prefixes, so this is an equi-join.
+    """
+    m = moves.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    parts = F.split("_path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    own = used.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(F.array_append(folders, F.col("_path"))).alias("_old"))
+    best = own.join(m, "_old").groupBy("_path").agg(F.max_by(F.struct("_old", "_new"), F.length("_old")).alias("_m"))
+    moved = F.concat(F.col("_m._new"), F.substr(F.col(path), F.length("_m._old") + 1))
+    out = used.join(best, F.col(path) == F.col("_path"), "left").withColumn("_now", F.coalesce(moved, F.col(path)))
+    return out.select(*[F.col("_now").alias(path) if c == path else F.col(c) for c in used.columns])
+
+
+def external_metadata(records: DataFrame, documents: DataFrame, path: Column, key: str = "id") -> DataFrame:
+    """records with meta and meta_from: the document (path, meta) at the record's own path, or else the only one named after its
+    key; null, and 'none' or 'several', where that fails.
+    """
+    d = documents.select(F.col("path").alias("_at"), F.col("meta").alias("_direct"))
+    named = documents.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("_stem"), "meta").groupBy("_stem").agg(F.count(F.lit(1)).alias("_n"), F.min("meta").alias("_only"))
+    j = records.withColumn("_at", path).join(d, "_at", "left").join(named, F.col(key) == F.col("_stem"), "left")
+    origin = F.when(F.col("_direct").isNotNull(), "path").when(F.col("_n") == 1, "name").when(F.col("_n") > 1, "several").otherwise("none")
+    return j.withColumn("meta", F.coalesce("_direct", F.when(F.col("_n") == 1, F.col("_only")))).withColumn("meta_from", origin).drop("_at", "_direct", "_stem", "_n", "_only")
+
+
+def with_headers(records: DataFrame, index: DataFrame, scanned: DataFrame, key: str = "audio") -> DataFrame:
+    """records with rate, frames and header_from: by the header index, or else by a scan of the files; 'none' without either."""
+    side = lambda df, x: df.select(key, F.col("rate").alias(f"_rate_{x}"), F.col("frames").alias(f"_frames_{x}"))
+    j = records.join(side(index, "i"), key, "left").join(side(scanned, "s"), key, "left")
+    origin = F.when(F.col("_rate_i").isNotNull(), "index").when(F.col("_rate_s").isNotNull(), "file").otherwise("none")
+    pick = lambda c: F.when(F.col("_rate_i").isNotNull(), F.col(f"_{c}_i")).otherwise(F.col(f"_{c}_s"))
+    return j.select(*records.columns, pick("rate").alias("rate"), pick("frames").alias("frames"), origin.alias("header_from"))

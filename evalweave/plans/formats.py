@@ -147,3 +147,14 @@ def cache_round_trip(spark, d):
 def settings_expansion(spark, d):
     found = settings.expand({"known": "${A}-${B}", "unknown": "${NOT_SET_ANYWHERE}/x", "deep": [{"n": 3}]}, {"A": "a", "B": "b"})
     return spark.createDataFrame([(found["known"], found["unknown"], found["deep"][0]["n"])], "known string, unknown string, depth int")
+
+
+@query("SELECT vec_id, CASE vec_id % 4 WHEN 1 THEN 'header' WHEN 2 THEN 'seconds' ELSE 'no file' END AS fault FROM embeddings WHERE vec_id % 4 > 0")
+def wav_audit(spark, d):
+    out = shared_folder(spark, "audited")
+    e = read(spark, d, "embeddings").select("vec_id", F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file"), F.transform("embedding", lambda v: v.cast("double")).alias("v"), F.lit(16000).alias("rate"))
+    sinks.write_wav(e.filter("vec_id % 4 < 3"), out, "file", "v", "rate", bits=16).write.parquet(f"{out}-written")
+    found = wav.scan(spark, out, samples=False).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
+    frames = F.size("v") + (F.col("vec_id") % 4 == 1).cast("int")
+    own = e.select("vec_id", F.col("file").alias("path"), F.col("rate").cast("long").alias("rate"), frames.cast("long").alias("frames"), (frames / F.col("rate") + (F.col("vec_id") % 4 == 2).cast("int")).alias("seconds"))
+    return wav.audit_faults(found, own).join(own.select("path", "vec_id"), "path").select("vec_id", "fault")

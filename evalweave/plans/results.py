@@ -262,3 +262,31 @@ def summary_plots(spark, d):
 def dataset_quality(spark, d):
     x = read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
     return figures.dataset_quality(x, "p_brand", "p_partkey", ["size", "price"], ["price"])["counts"]
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'one/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'new/' || p_size || '/f' || p_partkey ELSE 'c/d' || p_partkey END AS path FROM part")
+def relocated_inputs(spark, d):
+    own = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("a/b/x"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a/b/"), F.col("p_size").cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("c/d"), F.col("p_partkey").cast("string")))
+    used = read(spark, d, "part").select("p_partkey", own.alias("path"))
+    moves = used.filter("p_partkey % 3 = 0").select(F.col("path").alias("old"), F.concat(F.lit("one/"), F.col("p_partkey").cast("string")).alias("new")).unionByName(spark.createDataFrame([("a/b/", "new/"), ("a/", "wrong/")], "old string, new string"))
+    return validation.relocated(used, moves, "path")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'm' || page_id WHEN 1 THEN 'n' || page_id END AS meta, CASE page_id % 4 WHEN 0 THEN 'path' WHEN 1 THEN 'name' WHEN 2 THEN 'several' ELSE 'none' END AS meta_from FROM pages")
+def external_metadata(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"))
+    doc = lambda part, folder, x: p.filter(f"page_id % 4 = {part}").select(F.concat(F.lit(folder), "id", F.lit(".json")).alias("path"), F.concat(F.lit(x), F.col("page_id").cast("string")).alias("meta"))
+    docs = doc(0, "k/", "m").unionByName(doc(0, "o/", "x")).unionByName(doc(1, "o/", "n")).unionByName(doc(2, "o/", "x")).unionByName(doc(2, "q/", "y"))
+    return validation.external_metadata(p, docs, F.concat(F.lit("k/"), "id", F.lit(".json"))).select("page_id", "meta", "meta_from")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 5 * 1000 END AS rate, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey END AS frames, CASE WHEN o_orderkey % 5 < 2 THEN 'index' WHEN o_orderkey % 5 < 4 THEN 'file' ELSE 'none' END AS header_from FROM orders")
+def with_headers(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5 * 1000).alias("rate"), F.col("o_orderkey").alias("frames"))
+    return validation.with_headers(o.select("o_orderkey"), o.filter("o_orderkey % 5 < 2"), o.filter("o_orderkey % 5 < 4").withColumn("rate", F.col("rate")), "o_orderkey")
+
+
+@query("SELECT event_id, event_type AS l1, 'x' AS l2, 'y' || event_id AS l3 FROM events")
+def embedded_labels(spark, d):
+    meta = F.to_json(F.struct(F.struct(F.col("event_type").alias("L1"), F.lit(" x ").alias("L2"), F.concat(F.lit("y"), F.col("event_id").cast("string")).alias("L3")).alias("gt")))
+    return read(spark, d, "events").select("event_id", F.inline(F.array(labels.embedded_labels(meta))))

@@ -62,3 +62,16 @@ def scan(spark: SparkSession, folder: str, samples: bool = True) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
     return files.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(run, "path string, rate long, channels long, width long, frames long, seconds double, sha256 string, samples array<double>, error string")
+
+
+def audit_faults(found: DataFrame, records: DataFrame, key: str = "path") -> DataFrame:
+    """key, fault of records (key, rate, frames, seconds) against the files that were scanned: not one channel, another header, another length."""
+    f = found.select(key, F.col("channels").alias("_channels"), F.col("rate").alias("_rate"), F.col("frames").alias("_frames"), F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    fault = (
+        F.when(F.col("_there").isNull(), "no file")
+        .when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("_channels") != 1, "channels")
+        .when(~(F.col("rate").eqNullSafe(F.col("_rate")) & F.col("frames").eqNullSafe(F.col("_frames"))), "header")
+        .when(~F.coalesce(F.abs(F.col("seconds") - F.col("_frames") / F.col("_rate")) <= 1e-10, F.lit(False)), "seconds")
+    )
+    return records.join(f, key, "left").select(key, fault.alias("fault")).filter("fault is not null")
