@@ -18,7 +18,6 @@ null). Repeated rows: each is a row of the result. An empty table: no rows. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,7 +52,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-@cache
 def _printed():
     @F.pandas_udf("long")
     def printed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
