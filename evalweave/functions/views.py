@@ -70,10 +70,14 @@ def is_close(a: Column, b: Column, relative: float = 0.0, absolute: float = 0.0)
     return number & ((a == b) | (near & (F.abs(a) != float("inf")) & (F.abs(b) != float("inf"))))
 
 
-@F.pandas_udf(LongType())
-def identity_seed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def identity_seed(parts: Column) -> Column:
     """A seed of an array of strings: eight bytes of BLAKE2b over them, parted by NUL, little-endian; below 0 stands for 2 ** 64 more."""
-    from hashlib import blake2b
 
-    for own in parts:
-        yield pd.Series([None if p is None else int.from_bytes(blake2b("\0".join("" if x is None else x for x in p).encode(), digest_size=8).digest(), "little", signed=True) for p in own], dtype="Int64")
+    @F.pandas_udf(LongType())
+    def seed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from hashlib import blake2b
+
+        for own in batches:
+            yield pd.Series([None if p is None else int.from_bytes(blake2b("\0".join("" if x is None else x for x in p).encode(), digest_size=8).digest(), "little", signed=True) for p in own], dtype="Int64")
+
+    return seed(parts)
