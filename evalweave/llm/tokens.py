@@ -18,9 +18,9 @@ import re
 from itertools import chain
 
 #: Words held by a worker, at some 50 bytes each.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Bytes of the texts that are taken apart at once, unless one text has more.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: New words joined for one call of the library.
 JOINED = 256
 
