@@ -4,7 +4,8 @@ A sequence is cut into blocks that are coded independently, each from a fresh st
 block costs that block alone. Blocks are coded side by side: a step codes one id of every block with array operations.
 
 What the blocks of a file share is a `Prior`: of each id, how often it comes in up to TABLES kinds of passages that are told
-apart by their frequent ids, and which id follows it most and how surely. A block starts from it and adapts:
+apart by their frequent ids, and which id follows it most and how surely. All ids and all pairs of the file are counted, and all
+its passages told apart. A block starts from it and adapts, to each of its ids:
 
 - order 0: ids by the prior's table that has told this block's last ids best,
 - order 1: the id that follows the one before most, by the prior, where order 2 has nothing,
@@ -21,21 +22,22 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Ids of a block, and blocks coded side by side: some 1 kB of state each.
 BLOCK, LANES = 2048, 4096
-#: Kinds of passages, ids of a passage, passages that are looked at, ids that tell them apart, and starts of the search.
-TABLES, PASSAGE, LOOKED_AT, TELLING, STARTS = 4, 256, 1024, 128, 6
+#: Kinds of passages, ids of a passage, ids that tell them apart, starts of the search, passages tried for each, and passages counted at once.
+TABLES, PASSAGE, TELLING, STARTS, TRIED, AT_ONCE = 4, 256, 128, 2, 8, 2048
 #: Shares from which an id's successor is sure to the first, second and third degree.
 SURE = (0.05, 0.15, 0.4)
 #: Bits of a probability by order 0, of a weight; the most that a weight grows to, of 65,536; how fast it learns.
 _IDS, _WEIGHT, _MOST, _RATE = 18, 12, 62_000, 4
 #: Slots for contexts.
 _SLOTS = 256
-#: Steps after which weights learn, and after which the table is chosen anew.
-_LEARN, _TURN = 4, 8
+#: Steps after which the table is chosen anew, by all ids so far.
+_TURN = 8
 _LEAST = float(1 << 32)
 _SLOT_OF = np.arange(1 << 16) * 40503 >> 4 & (_SLOTS - 1)
 _HEAD = struct.Struct("<III")
@@ -71,11 +73,11 @@ class Prior:
         used = np.flatnonzero(all_counts)
         counts = all_counts[used].astype(float)
         tables, after = [counts], np.zeros(len(used), np.int32)
-        n = len(ids) // PASSAGE
-        if n >= 16 * TABLES:
-            every = -(-n // LOOKED_AT)
-            x = np.searchsorted(used, ids[: n * PASSAGE].reshape(n, PASSAGE)[::every])
-            tables = [np.bincount(x[kind].ravel(), minlength=len(used)) * (n / len(x)) + 0.02 * counts for kind in _kinds(x, counts)]
+        if len(ids) >= 16 * TABLES * PASSAGE:
+            number = np.zeros(len(all_counts), np.uint16)
+            number[used] = np.arange(len(used))
+            x = number.take(ids)
+            tables = [t + 0.02 * counts for t in _tables(x, _kinds(x, counts), len(used))]
             after = _after(x, used)
         freq = np.stack([_scaled(t) for t in tables])
         return cls(used, freq, after)
@@ -95,8 +97,13 @@ class Prior:
 
 
 def _after(x: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Of each id (its number in used) the id that follows it most in the rows of x, with how surely; 0 without one."""
-    pairs, many = np.unique(x[:, :-1].ravel() * len(used) + x[:, 1:].ravel(), return_counts=True)
+    """Of each id (its number in used, of which x has all in a row) the id that follows it most, with how surely; 0 without one."""
+    pairs = x[:-1].astype(np.uint32)
+    pairs *= np.uint32(len(used))
+    pairs += x[1:]
+    pairs.sort()
+    at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    many, pairs = np.diff(at, append=len(pairs)), pairs[at].astype(np.int64)
     first = pairs // len(used)
     order = np.lexsort((many, first))
     last = order[np.flatnonzero(np.diff(first[order], append=len(used)))]  # of each id its largest pair
@@ -107,26 +114,61 @@ def _after(x: np.ndarray, used: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kinds(x: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Which rows of x belong to each kind: spherical k-means over the telling ids, the best of some starts."""
+def _passages(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All of x by some passages: number of the first, ids, the passage of each, from 0 on; the last passage may be short."""
+    for i in range(0, len(x), AT_ONCE * PASSAGE):
+        own = x[i : i + AT_ONCE * PASSAGE]
+        yield i // PASSAGE, own, np.arange(len(own)) // PASSAGE
+
+
+def _tables(x: np.ndarray, kind: np.ndarray, n: int) -> list[np.ndarray]:
+    """How often each of n ids comes in the passages of each kind."""
+    out = np.zeros(TABLES * n, np.int64)
+    for first, own, passage in _passages(x):
+        out += np.bincount(kind[first:].take(passage) * n + own, minlength=TABLES * n)
+    return [t for t in out.reshape(TABLES, n) if t.any()]
+
+
+def _kinds(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The kind of each passage of x: spherical k-means over the telling ids, the best of some starts."""
     rank = np.full(len(counts), TELLING)
     top = np.argsort(-counts, kind="stable")[:TELLING]
     rank[top] = np.arange(len(top))
-    places = np.arange(len(x))[:, None] * (TELLING + 1) + rank[x]
-    many = np.sqrt(np.bincount(places.ravel(), minlength=len(x) * (TELLING + 1)).reshape(len(x), -1))
+    wide = TELLING + 1
+    many = np.zeros((-(-len(x) // PASSAGE), wide), np.float32)
+    for first, own, passage in _passages(x):
+        n = int(passage[-1]) + 1
+        many[first : first + n] = np.bincount(passage * wide + rank.take(own), minlength=n * wide).reshape(n, wide)
+    np.sqrt(many, out=many)
     many /= np.linalg.norm(many, axis=1, keepdims=True)
-    best, kind = -1.0, np.zeros(len(x), np.int64)
+    best, kind = -1.0, np.zeros(len(many), np.int64)
     draw = np.random.default_rng(1)
     for _ in range(STARTS):
-        centres = many[draw.choice(len(many), TABLES, replace=False)]
+        centres, before = _apart(many, draw), None
         for _ in range(8):
             own = (many @ centres.T).argmax(1)
-            sums = np.stack([many[own == k].sum(0) for k in range(TABLES)])
+            if before is not None and (own == before).all():
+                break
+            before = own
+            sums = (own == np.arange(TABLES)[:, None]).astype(np.float32) @ many
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        alike = float((many @ centres.T).max(1).sum())
-        if alike > best:
-            best, kind = alike, (many @ centres.T).argmax(1)
-    return [kind == k for k in range(TABLES) if (kind == k).any()]
+        alike = many @ centres.T
+        if float(alike.max(1).sum(dtype=float)) > best:
+            best, kind = float(alike.max(1).sum(dtype=float)), alike.argmax(1)
+    return kind
+
+
+def _apart(many: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Rows to start from: of some that are drawn, the sooner the less they are like those before, the one that leaves the least (greedy k-means++)."""
+    far, found = np.ones(len(many), np.float32), []
+    for _ in range(TABLES):
+        upto = np.cumsum(far, dtype=float)
+        rows = np.minimum(np.searchsorted(upto, draw.random(TRIED) * upto[-1], "right"), len(many) - 1)
+        left = np.minimum(far[:, None], np.maximum(1 - many @ many[rows].T, 0))
+        k = int(left.sum(0, dtype=float).argmin())
+        far = left[:, k]
+        found.append(rows[k])
+    return many[found]
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -169,9 +211,8 @@ class _Model:
         up *= (self.e & 0xFFFF) == ids
         self.last[self.slot] = ids + (up + 1 << 16)
         self.t += 1
-        if self.t % _LEARN == 0:
-            # without a prediction the weight is 0 and stays it
-            self.weights[self.cell] = self.v + (_MOST * ((self.said == ids) & (self.f > 0)) - self.v >> _RATE)
+        # without a prediction the weight is 0 and stays it
+        self.weights[self.cell] = self.v + (_MOST * ((self.said == ids) & (self.f > 0)) - self.v >> _RATE)
         self.h2 = self.h * 5 & (_SLOTS - 1)
         self.h = _SLOT_OF.take(ids)
         self.next = self.prior.next.take(ids)

@@ -1,12 +1,13 @@
 """Token ids of documents in range-coded binary files.
 
 Documents go to tasks by ranges of (doc_id, hash of the text), null first, so that a doc_id that many rows share is split too.
+Spark finds the ranges' bounds by a look at some rows: they decide where files end, never what is in them or comes out.
 A task encodes its documents (tokens.py), appends an end id to each and writes them in this order as files of FILE_IDS ids,
 about; rows with one doc_id are ordered by their ids in a file. A file:
 
-    magic "EWTOK2\\n\\0", u64 bytes of the index, of the prior and of the blocks, u32 crc32 of index and prior
+    magic "EWTOK3\\n\\0", u64 bytes of the index, of the prior and of the blocks, u32 crc32 of index and prior
     index, zlib: u64 documents, i64 doc_id each, u8 null flag each, u32 ids each
-    prior (rangecoder.py): what the file's blocks start from
+    prior (rangecoder.py): what the file's blocks start from, counted over all ids of the file
     blocks (rangecoder.py): the file's ids, cut into blocks that are reset and checksummed one by one
 
 A document lies at the sum of the lengths before it; a reader takes the blocks that its range touches. Files are named by
@@ -32,7 +33,7 @@ from . import rangecoder
 from .common import give_back, materialize, open_fs, scratch
 from .tokens import default_path, encoder
 
-MAGIC = b"EWTOK2\n\0"
+MAGIC = b"EWTOK3\n\0"
 _HEAD = struct.Struct("<QQQI")
 #: Bytes of text for a task, about, and ids after which a file is closed.
 FILE_BYTES, FILE_IDS = 20 << 20, 8_000_000

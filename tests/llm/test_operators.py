@@ -106,6 +106,39 @@ def test_range_coder():
     assert (rangecoder.decode_blocks(rangecoder.split_blocks(data)[1:2], held) == ids[256:512]).all()
 
 
+def test_prior_is_of_all_ids():
+    ids = np.random.default_rng(3).integers(1, 40, 256 * 4100 + 100).astype("<u2")
+    ids[: 256 * 4100].reshape(-1, 256)[1::5] = np.tile([50, 51], 128)  # passages that a look at every fifth would miss
+    ids[-100:] = np.tile([60, 61], 50)  # behind the last whole passage
+    prior = rangecoder.Prior.of(ids)
+    pairs = Counter(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True))
+    seen, heads = Counter(ids.tolist()), Counter(ids[:-1].tolist())
+    assert prior.used.tolist() == sorted(seen)
+    for i in sorted(heads):
+        most = max(n for (a, _), n in pairs.items() if a == i)
+        sure = int(np.searchsorted(rangecoder.SURE, most / heads[i], "right"))
+        said = int(prior.next[i])
+        assert said >> 16 == sure and (not sure or pairs[i, said & 0xFFFF] == most)
+    assert prior.next[50] & 0xFFFF == 51 and prior.next[60] & 0xFFFF == 61
+    number = np.searchsorted(prior.used, ids)
+    kind = rangecoder._kinds(number, np.array([seen[i] for i in prior.used.tolist()], float))
+    assert sum(rangecoder._tables(number, kind, len(prior.used))).tolist() == [seen[i] for i in prior.used.tolist()]
+    assert prior.width[:, 50].max() > 0.4 * prior.width[:, :].sum(1).max()
+
+
+def test_weights_learn_from_every_id():
+    ids = np.tile(np.arange(1, 9), 4000).astype("<u2")
+    model = rangecoder._Model(1, rangecoder.Prior.of(ids))
+    predicted = 0
+    for i in ids[:40]:
+        model.predict()
+        before, told = model.weights.copy(), model.f[0] > 0
+        model.update(np.array([i], np.int32))
+        assert (model.weights != before).any() == told
+        predicted += told
+    assert predicted > 30
+
+
 def test_carries():
     # long runs of full words and what is carried into them, in blocks that end before the others too
     r = np.random.default_rng(8)
