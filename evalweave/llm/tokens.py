@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 #: Words held by a worker, at some 50 bytes each.
 CACHE = 500_000
+#: Words of letters in lower case held beside them where the vocabulary has no others, at some 150 bytes each.
+LOWER = 1_000_000
 #: Bytes of the texts that are taken apart at once, unless one text has more.
 AT_ONCE = 4 << 20
 #: New words joined for one call of the library.
@@ -42,12 +44,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", cache: int = CACHE):
+    def __init__(self, path: str, dtype: str = "<u4", cache: int = CACHE, lower: int = LOWER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.np, self.dtype, self.most = np, np.dtype(dtype), cache
+        self.np, self.dtype, self.most, self.most_lower = np, np.dtype(dtype), cache, lower
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = self._ids(" a") == self._ids("a")  # and then lower-cases, as tests see
@@ -60,6 +62,12 @@ class PieceEncoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>") if self.drops_space else token)
         self._forget()
+        self._forget_lower()
+
+    def _forget_lower(self) -> None:
+        np = self.np
+        self.lower: dict[str, int] = {}  # the number of a word of letters in lower case
+        self.lower_flat, self.lower_ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
         import pyarrow as pa
@@ -183,10 +191,10 @@ class PieceEncoder:
         behind = pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(letters).to_numpy(zero_copy_only=False) - feed
         marks = self._marks(own, behind)
         if self.drops_space:
-            letters = pc.utf8_lower(letters)
+            ids, lengths = self._lower_ids(pc.utf8_lower(letters))
         else:
             letters = pc.if_else(feed, letters, pc.binary_join_element_wise(pa.scalar(" ", letters.type), letters, pa.scalar("", letters.type)))
-        ids, lengths = self._model_ids(letters)
+            ids, lengths = self._model_ids(letters)
         full = np.zeros(len(words), np.int64)
         of_marks = np.fromiter(map(len, marks), np.int64, len(marks))
         full[plain] = lengths + feed
@@ -219,6 +227,29 @@ class PieceEncoder:
             out.append(held[m])
         return out
 
+    def _lower_ids(self, words):
+        """As _model_ids, of words in lower case: many words differ in capitals or marks alone, or were held once, and are not given to the model again."""
+        import pyarrow.compute as pc
+
+        np = self.np
+        if len(self.lower) > self.most_lower:
+            self._forget_lower()
+        numbered = words.dictionary_encode()
+        own, held = _strings(numbered.dictionary), self.lower
+        at = np.fromiter(map(held.get, own, repeat(-1)), np.int64, len(own))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = np.arange(len(held), len(held) + len(missing))
+            held.update(zip([own[k] for k in missing.tolist()], at[missing].tolist(), strict=True))
+            ids, lengths = self._model_ids(pc.take(numbered.dictionary, missing))
+            self.lower_ends = np.concatenate((self.lower_ends, self.lower_ends[-1] + np.cumsum(lengths)))
+            self.lower_flat = np.concatenate((self.lower_flat, ids))
+        at = at[numbered.indices.to_numpy()]
+        starts = self.lower_ends[at]
+        many = self.lower_ends[at + 1] - starts
+        upto = np.cumsum(many)
+        return self.lower_flat.take(np.repeat(starts - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)), many
+
     def _model_ids(self, words):
         """(Ids, how many each has) of words by the model alone, each byte as its letter."""
         import pyarrow as pa
@@ -251,6 +282,14 @@ class PieceEncoder:
         return out
 
 
+def _strings(words) -> list[str]:
+    """Words without line feeds, as Python has them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join(_one_list(words), pa.scalar("\n", words.type))[0].as_py().split("\n") if len(words) else []
+
+
 def _one_list(words):
     import pyarrow as pa
 

@@ -80,6 +80,16 @@ def coded(ids, **how):
     return b"".join(rangecoder.encode_blocks(ids, prior, **how)), held
 
 
+def test_words_forgotten_are_learned_again():
+    texts = [t + f" W{k} Wort{'abcdefghij'[k % 10]}, wort{'abcdefghij'[k % 7]}." for k, t in enumerate(pq.read_table(f"{DIR}/documents.parquet")["text"].to_pylist()[:40]) if t]
+    enc = PieceEncoder(default_path("word_bpe_49k.json"), cache=60, lower=40)
+    for _ in range(2):
+        for t in texts:
+            assert enc.encode([t]) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+            assert len(enc.lower) == len(enc.lower_ends) - 1
+    assert len(enc.lower) < len({w for t in texts for w in re.findall("[a-z]+", t.lower())})
+
+
 def test_range_coder():
     r = np.random.default_rng(3)
     mixed = np.concatenate([r.integers(a, a + 300, 256) for a in r.choice([0, 5000, 40000], 200)])
