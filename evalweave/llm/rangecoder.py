@@ -239,9 +239,10 @@ def encode_blocks(ids: np.ndarray, prior: Prior | None = None, block: int = BLOC
 
 def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     n = -(-len(ids) // block)
-    padded = np.full(n * block, ids[0], np.int32)
+    padded = np.full(n * block, ids[0], np.uint16)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(n, block).T)
+    del padded
     last = len(ids) - (n - 1) * block  # ids of the last block, which may stop before the others
     model = _Model(n, prior)
     low, rng = np.zeros(n), np.full(n, float(1 << 48))
@@ -252,7 +253,7 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     for t in range(min(block, len(ids))):
         if t == last:
             ended = low[-1], words[line[-1] : line[-1] + at[-1]].copy()
-        x = steps[t]
+        x = steps[t].astype(np.int32)
         model.predict()
         r = np.floor(rng * 2.0**-_WEIGHT)
         r0 = np.floor(r * ((1 << _WEIGHT) - model.f) * 2.0**-_IDS)
@@ -325,7 +326,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]], prior: Prior, lanes: int
                 if zlib.crc32(own.astype("<u4").tobytes()) != blocks[k][1]:
                     raise BlockError("a block's checksum is wrong")
                 out[k] = own
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+    return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
 def _decode(data: list[bytes], steps: int, prior: Prior) -> np.ndarray:
@@ -340,7 +341,7 @@ def _decode(data: list[bytes], steps: int, prior: Prior) -> np.ndarray:
         ahead = ahead * 65536 + words[:, j]
     words, line, at, end = words.ravel(), model.row * (longest + 4), np.full(n, 3, np.int64), longest + 3
     find, start_of, width_of, size = prior.find.ravel(), prior.start.ravel(), prior.width.ravel(), prior.size
-    out = np.zeros((steps, n), np.int32)
+    out = np.zeros((steps, n), np.uint16)
     for t in range(steps):
         model.predict()
         r = np.floor(rng * 2.0**-_WEIGHT)

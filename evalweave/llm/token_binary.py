@@ -100,9 +100,10 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, file
             temporary = f"{folder}/{file}.{uuid.uuid4().hex}"
             lengths, ids = _in_order(held[0], np.concatenate(held[1]), np.concatenate(held[2]))
             row = [part, nth, file, len(held[0]), len(ids)]
+            held[1].clear()
+            held[2].clear()  # ids has them all
             data = pack_file(held[0], lengths, ids)
-            for x in held:
-                x.clear()
+            held[0].clear()
             with fs.open_output_stream(temporary) as f:
                 f.write(pa.py_buffer(data))
             fs.move(temporary, f"{folder}/{file}")
